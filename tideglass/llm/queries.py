@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, exact_chunks, host_reputation, mixing, token_counts
+from . import chat, decontaminate, exact_chunks, host_reputation, mixing, substring_dedup, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,10 +23,19 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's outcome is the quality label of its id's document."""
     outcomes = table(spark, sf_dir, "labels").selectExpr("doc_id as page_id", "quality as good")
@@ -47,7 +56,9 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
+    "op3_substring_dedup": op3_substring_dedup,
     "op5_chat_format": op5_chat_format,
+    "op6_toxicity": op6_toxicity,
     "op7_url_filter": op7_url_filter,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mixing": op9_mixing,
@@ -55,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op3_substring_dedup": substring_dedup.OP3_SQL,
     "op5_chat_format": chat.OP5_SQL,
     "op7_url_filter": host_reputation.OP7_SQL,
     "op8_exact_dedup": exact_chunks.OP8_SQL,
