@@ -27,12 +27,13 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, join_groups, materialize, without_ids
 
-KMER, DRAWN, SKETCHES, SIMILARITY = 5, 2, 12, 0.8
+KMER, DRAWN, SKETCHES, SIMILARITY = 5, 2, 48, 0.8
 WORD = re.compile(r"[^\W_]+")
 #: A worker remembers the hashes of so many words.
 CACHE_SIZE = 300_000
 NO_ID = -(2**63)
 _SEEDS = np.random.default_rng(2_017).integers(1, 2**63, SKETCHES, dtype=np.uint64)
+_MOST = np.uint64(2**64 - 1)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _cache: dict[str, int] = {}
 
@@ -75,17 +76,17 @@ def labelled_kmers(words: np.ndarray, k: int = KMER) -> np.ndarray:
 
 
 def order_sketches(kmers: np.ndarray, drawn: int = DRAWN) -> np.ndarray:
-    """One 64-bit key per sketch: its `drawn` least k-mers, combined in text order."""
+    """One 64-bit key per sketch: its number and its `drawn` least k-mers, combined in text order."""
     if not len(kmers):
         return kmers
-    ranks = mixed(kmers[None, :] ^ _SEEDS[:, None])
-    if kmers.size > drawn:
-        least = np.sort(np.argpartition(ranks, drawn, axis=1)[:, :drawn], axis=1)
-    else:
-        least = np.tile(np.arange(kmers.size), (SKETCHES, 1))
-    key = np.zeros(SKETCHES, np.uint64)
-    for j in range(least.shape[1]):
-        key = mixed(key * _GOLD + kmers[least[:, j]])
+    ranks = (kmers[None, :] ^ _SEEDS[:, None]) * _GOLD
+    every, least = np.arange(SKETCHES), []
+    for _ in range(min(drawn, kmers.size)):
+        least.append(ranks.argmin(axis=1))
+        ranks[every, least[-1]] = _MOST
+    key = _SEEDS.copy()
+    for at in np.sort(np.stack(least), axis=0):
+        key = mixed(key * _GOLD + kmers[at])
     return key
 
 
@@ -189,23 +190,23 @@ def aligned(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
 
 def find_links(docs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Verified (member, leader) links between texts that share a sketch."""
-    buckets = texts.select("id", F.posexplode("sketches").alias("band", "key"))
+    buckets = texts.select("id", F.explode("sketches").alias("key"))
     links, leaders = None, 1
     while True:
-        sizes = buckets.groupBy("band", "key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+        sizes = buckets.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("members")).filter("members > 1")
         sizes = materialize(sizes, "buckets")
         if sizes.isEmpty():
             return links
         total = sizes.agg(F.sum("members")).first()[0]
-        shared = buckets.join(sizes.select("band", "key").withColumnsRenamed({"band": "__b", "key": "__k"}), (F.col("band") == F.col("__b")) & (F.col("key") == F.col("__k")), "left_semi")
+        shared = buckets.join(sizes.select(F.col("key").alias("__k")), F.col("key") == F.col("__k"), "left_semi")
         if leaders == 1:
-            led = join_groups(shared, sizes, ["band", "key"], "members", total).select("id", "band", "key", "leader")
+            led = join_groups(shared, sizes, ["key"], "members", total).select("id", "key", "leader")
         else:  # what failed before: several leaders for each bucket
-            rank = F.row_number().over(Window.partitionBy("band", "key").orderBy("id"))
-            chosen = shared.withColumn("rank", rank).filter(F.col("rank") <= leaders).select("band", "key", F.col("id").alias("leader"))
-            lists = chosen.groupBy("band", "key").agg(F.collect_list("leader").alias("leaders"))
-            lists = lists.join(sizes.drop("leader"), ["band", "key"])
-            led = join_groups(shared, lists, ["band", "key"], "members", total).select("id", "band", "key", F.explode("leaders").alias("leader"))
+            rank = F.row_number().over(Window.partitionBy("key").orderBy("id"))
+            chosen = shared.withColumn("rank", rank).filter(F.col("rank") <= leaders).select("key", F.col("id").alias("leader"))
+            lists = chosen.groupBy("key").agg(F.collect_list("leader").alias("leaders"))
+            lists = lists.join(sizes.drop("leader"), ["key"])
+            led = join_groups(shared, lists, ["key"], "members", total).select("id", "key", F.explode("leaders").alias("leader"))
         led = materialize(led, "led")
         pairs = materialize(led.filter("id <> leader").select(F.greatest("id", "leader").alias("member"), F.least("id", "leader").alias("leader")).distinct(), "pairs")
         verdicts = materialize(aligned(docs, pairs, similarity).groupBy("member", "leader").agg(F.max("linked").alias("linked")), "verdicts")
@@ -213,8 +214,8 @@ def find_links(docs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
         links = found if links is None else links.union(found)
         # a member stays in its bucket for another round unless it leads there or is linked to a leader there
         done = led.join(verdicts, (F.greatest(led["id"], led["leader"]) == verdicts["member"]) & (F.least(led["id"], led["leader"]) == verdicts["leader"]), "left")
-        settled = done.groupBy(led["id"], led["band"], led["key"]).agg(F.max((led["id"] == led["leader"]) | F.coalesce("linked", F.lit(False))).alias("settled"))
-        buckets = materialize(settled.filter(~F.col("settled")).select("id", "band", "key"), "rest")
+        settled = done.groupBy(led["id"], led["key"]).agg(F.max((led["id"] == led["leader"]) | F.coalesce("linked", F.lit(False))).alias("settled"))
+        buckets = materialize(settled.filter(~F.col("settled")).select("id", "key"), "rest")
         leaders *= 2
 
 
