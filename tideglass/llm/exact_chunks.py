@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, join_groups, materialize
+from .common import ascii_lower, join_groups, materialize, without_ids
 
 #: A chunk ends at the first sentence or line end past 1,024 characters, or at 8,192.
 CHUNK_PATTERN = r"(?s).{1024,8191}?[.!?\n]|.{1,8192}"
@@ -83,6 +83,14 @@ def dedup_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def keep_one_of_each(docs: DataFrame) -> DataFrame:
+    """docs less exact copies of a document of larger doc_id; rows that repeat a doc_id go together."""
+    found = dedup_exact(docs)
+    kept = found.filter("kept").select("doc_id")
+    dropped = found.filter(~F.col("kept")).select("doc_id").distinct().join(kept, "doc_id", "left_anti")
+    return without_ids(docs, materialize(dropped, "copies"))
+
+
 OP8_SQL = r"""
 with norm as (
   select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents
