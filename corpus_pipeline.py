@@ -1,4 +1,9 @@
-"""The corpus pipeline: five stages over the documents table."""
+"""The corpus pipeline: five stages over the documents table.
+
+Each stage takes what its predecessor kept, as written and read again, and
+returns the columns of documents; the last adds each document's place in
+the mix.
+"""
 
 from __future__ import annotations
 
@@ -6,14 +11,52 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+from tideglass.llm import decontaminate, exact_chunks, mixing, order_minhash, toxicity
+from tideglass.llm.common import materialize
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorization machine, learned from the labelled ones among docs, does not reject."""
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one of largest doc_id."""
+    return exact_chunks.keep_one_of_each(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicates the one of least doc_id."""
+    return order_minhash.keep_one_of_each(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap no benchmark item."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with its virtual finish time and how many copies of it the mix takes (0 to 3)."""
+    return mixing.mix_sources(docs, carry=docs.columns)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_exact_copies),
+    ("near dedup", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix),
+]
 
 #: Learned scores, sketches and alignments have no SQL form.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixed corpus: the stages one after the other, each one's result written before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for number, (_, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
+        if number < len(STAGES):
+            docs = materialize(docs, f"stage-{number}")
     return docs
