@@ -21,7 +21,7 @@ from .common import in_fold, materialize, without_ids
 
 WORD = re.compile(r"[^\W_]+")
 #: Terms are hashed to so many bits; at most this many labelled rows are learned from, drawn by md5 of the id.
-HASH_BITS, TRAIN_ROWS = 26, 12_000
+HASH_BITS, TRAIN_ROWS = 26, 8_000
 #: Terms in fewer documents of the sample are left out, and so are those whose share among toxic
 #: documents is within so many deviations of their share among all: they would only add noise to long texts.
 LEAST_DOCUMENTS, LEAST_DEVIATIONS = 4, 5.0
@@ -52,7 +52,7 @@ class TermHasher:
         terms: set[int] = set()
         for word in set(WORD.findall(text.lower())):
             terms.update(self.of_word(word))
-        return np.fromiter(sorted(terms), np.int64, len(terms))
+        return np.fromiter(sorted(terms), np.int32, len(terms))
 
 
 @dataclass
@@ -76,10 +76,11 @@ class FactorizationMachine:
 
 def telling_terms(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     """The sorted terms whose documents' toxic share departs from the base rate."""
-    sizes = [len(r) for r in rows]
-    terms, at, df = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
     base = labels.mean()
-    toxic = np.bincount(at, np.repeat(labels, sizes), len(terms))
+    terms, df = np.unique(np.concatenate(rows), return_counts=True)
+    found, n = np.unique(np.concatenate([r for r, label in zip(rows, labels, strict=True) if label]), return_counts=True)
+    toxic = np.zeros(len(terms))
+    toxic[np.searchsorted(terms, found)] = n
     deviations = (toxic - df * base) / np.sqrt(df * base * (1 - base))
     return terms[(df >= LEAST_DOCUMENTS) & (np.abs(deviations) >= LEAST_DEVIATIONS)]
 
@@ -87,7 +88,7 @@ def telling_terms(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
 def train(rows: list[np.ndarray], labels: np.ndarray) -> FactorizationMachine:
     """Logistic loss, adaptive steps, in a fixed order; without rows of both labels a constant at the base rate."""
     base = (labels.sum() + 1) / (len(labels) + 2) if len(labels) else 0.0
-    nothing = FactorizationMachine(float(np.log(base / (1 - base))) if base else -30.0, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FACTORS)))
+    nothing = FactorizationMachine(float(np.log(base / (1 - base))) if base else -30.0, np.zeros(0, np.int32), np.zeros(0), np.zeros((0, FACTORS)))
     if not len(labels) or labels.min() == labels.max():
         return nothing
     terms = telling_terms(rows, labels)
@@ -141,10 +142,10 @@ def sample_of_labels(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS)
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = TermHasher()
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "terms": [hasher(t).astype(np.int32).tobytes() for t in batch["text"]]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "terms": [hasher(t).tobytes() for t in batch["text"]]})
 
     found = sorted(chosen.mapInPandas(hashed, "doc_id long, toxic int, terms binary").limit(2 * rows).collect())
-    return [np.frombuffer(r["terms"], np.int32).astype(np.int64) for r in found], np.array([float(r["toxic"] > 0) for r in found])
+    return [np.frombuffer(r["terms"], np.int32) for r in found], np.array([float(r["toxic"] > 0) for r in found])
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> FactorizationMachine:
