@@ -40,13 +40,9 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hashes of the words."""
     if len(_cache) > CACHE_SIZE:
         _cache.clear()
-    out = []
-    for w in words:
-        h = _cache.get(w)
-        if h is None:
-            h = _cache[w] = xxhash.xxh3_64_intdigest(w)
-        out.append(h)
-    return np.array(out, np.uint64)
+    for w in set(words).difference(_cache):
+        _cache[w] = xxhash.xxh3_64_intdigest(w)
+    return np.array([_cache[w] for w in words], np.uint64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -66,18 +62,25 @@ def gram_hashes(hashes: np.ndarray, n: int, seed: int) -> np.ndarray:
 
 
 class Sketch:
-    """Anchors and windows of one text; the text's words at hand."""
+    """A text's words, and on demand its windows' hashes and the anchors that lead them."""
 
     def __init__(self, text: str | None, window: int = WINDOW, kmer: int = KMER):
         self.words = (text or "").encode("utf-8", "surrogatepass").split()
-        hashes = word_hashes(self.words)
-        self.windows = gram_hashes(hashes, window, 1)
-        grams = gram_hashes(hashes, kmer, 2)
-        if len(self.windows):
-            lanes = np.lib.stride_tricks.sliding_window_view(grams, window - kmer + 1)
-            self.leads = grams[lanes.argmin(axis=1) + np.arange(len(self.windows))]
-        else:
-            self.leads = grams[:0]
+        self.window, self.kmer = window, kmer
+        self.hashes = word_hashes(self.words) if len(self.words) >= window else np.zeros(0, np.uint64)
+
+    @property
+    def windows(self) -> np.ndarray:
+        return gram_hashes(self.hashes, self.window, 1)
+
+    @property
+    def leads(self) -> np.ndarray:
+        """For each window the least of its k-mers' hashes."""
+        grams = gram_hashes(self.hashes, self.kmer, 2)
+        least = grams[: max(0, len(self.hashes) - self.window + 1)].copy()
+        for j in range(1, self.window - self.kmer + 1):
+            np.minimum(least, grams[j : j + len(least)], out=least)
+        return least
 
 
 def least_by(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -181,16 +184,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         keys, least = keys[order], least[order]
         rows = []
         for doc_id, (i, s) in zip(pdf["doc_id"], sketches(pdf), strict=True):
-            n = len(s.words)
-            covered = np.zeros(n + 1, np.int32)
-            if len(keys) and len(s.windows):
-                at = np.minimum(np.searchsorted(keys, s.windows), len(keys) - 1)
-                starts = np.flatnonzero((keys[at] == s.windows) & (least[at] < i))
-                np.add.at(covered, starts, 1)
-                np.add.at(covered, starts + window, -1)
-            gone = np.cumsum(covered[:n]) > 0
-            kept = b" ".join([w for w, g in zip(s.words, gone, strict=True) if not g]) if gone.any() else b" ".join(s.words)
-            rows.append((doc_id, n, int(gone.sum()), kept.decode("utf-8", "surrogatepass"), hashlib.sha256(kept).hexdigest()))
+            kept, n = s.words, len(s.words)
+            windows = s.windows
+            if len(keys) and len(windows):
+                at = np.minimum(np.searchsorted(keys, windows), len(keys) - 1)
+                starts = np.flatnonzero((keys[at] == windows) & (least[at] < i))
+                if len(starts):
+                    covered = np.zeros(n + 1, np.int32)
+                    covered[starts] += 1
+                    covered[starts + window] -= 1
+                    kept = [w for w, depth in zip(kept, np.cumsum(covered[:n]).tolist(), strict=True) if not depth]
+            gone, kept = n - len(kept), b" ".join(kept)
+            rows.append((doc_id, n, gone, kept.decode("utf-8", "surrogatepass"), hashlib.sha256(kept).hexdigest()))
         out = pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"])
         return out.astype({"doc_id": "Int64"})
 
