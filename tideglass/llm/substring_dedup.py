@@ -21,36 +21,17 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .words import mixed, word_hashes
+
 #: Words of a window (the least repeat that is removed), and of an anchor's k-mer.
 WINDOW, KMER = 13, 6
 #: Documents in a block, on average.
-BLOCK_DOCS = 2_000
-#: A worker remembers the hashes of so many words.
-CACHE_SIZE = 300_000
+BLOCK_DOCS = 1_000
 NO_ID = -(2**63)
 
-_cache: dict[bytes, int] = {}
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes of the words."""
-    if len(_cache) > CACHE_SIZE:
-        _cache.clear()
-    for w in set(words).difference(_cache):
-        _cache[w] = xxhash.xxh3_64_intdigest(w)
-    return np.array([_cache[w] for w in words], np.uint64)
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64 bits that leaves no pattern (splitmix)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
 
 def gram_hashes(hashes: np.ndarray, n: int, seed: int) -> np.ndarray:
     """Hashes of all runs of n words."""
@@ -61,13 +42,19 @@ def gram_hashes(hashes: np.ndarray, n: int, seed: int) -> np.ndarray:
     return mixed(out)
 
 
-class Sketch:
-    """A text's words, and on demand its windows' hashes and the anchors that lead them."""
+class Block:
+    """The texts of a block: doc numbers each of its windows' document, at the window's first word."""
 
-    def __init__(self, text: str | None, window: int = WINDOW, kmer: int = KMER):
-        self.words = (text or "").encode("utf-8", "surrogatepass").split()
+    def __init__(self, texts: Iterable[str | None], window: int = WINDOW, kmer: int = KMER):
+        self.texts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        starts, self.hashes = word_hashes(b" ".join(self.texts))
         self.window, self.kmer = window, kmer
-        self.hashes = word_hashes(self.words) if len(self.words) >= window else np.zeros(0, np.uint64)
+        offsets = np.cumsum([0] + [len(t) + 1 for t in self.texts])
+        doc = np.searchsorted(offsets, starts, side="right") - 1
+        self.first_word = np.searchsorted(doc, np.arange(len(self.texts) + 1))
+        n = max(0, len(doc) - window + 1)
+        self.whole = doc[:n] == doc[window - 1 :]
+        self.doc = doc[:n]
 
     @property
     def windows(self) -> np.ndarray:
@@ -75,9 +62,9 @@ class Sketch:
 
     @property
     def leads(self) -> np.ndarray:
-        """For each window the least of its k-mers' hashes."""
+        """For each window its anchor: the least of its k-mers' hashes."""
         grams = gram_hashes(self.hashes, self.kmer, 2)
-        least = grams[: max(0, len(self.hashes) - self.window + 1)].copy()
+        least = grams[: len(self.doc)].copy()
         for j in range(1, self.window - self.kmer + 1):
             np.minimum(least, grams[j : j + len(least)], out=least)
         return least
@@ -93,15 +80,16 @@ def least_by(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return keys[starts], np.minimum.reduceat(values, starts), np.maximum.reduceat(values, starts)
 
 
-def packed(*arrays: np.ndarray) -> bytes:
-    """Arrays of 64-bit numbers of one length as bytes; the sorted first one as differences."""
-    first = np.diff(arrays[0].view(np.uint64), prepend=np.uint64(0))
-    return zlib.compress(b"".join(a.tobytes() for a in (first, *arrays[1:])), 1)
+def packed(keys: np.ndarray, *values: np.ndarray) -> bytes:
+    """Arrays of 64-bit numbers of one length as bytes: the sorted keys as differences, each next array less the one before."""
+    rows = [np.diff(keys, prepend=np.uint64(0)), *values[:1], *(b - a for a, b in zip(values, values[1:], strict=False))]
+    return zlib.compress(b"".join(r.tobytes() for r in rows), 1)
 
 
 def unpacked(blob: bytes, n_arrays: int) -> list[np.ndarray]:
     data = np.frombuffer(zlib.decompress(blob), np.uint64).reshape(n_arrays, -1)
-    return [np.cumsum(data[0], dtype=np.uint64), *(x.view(np.int64) for x in data[1:])]
+    values = np.cumsum(data[1:].view(np.int64), axis=0)
+    return [np.cumsum(data[0], dtype=np.uint64), *values]
 
 
 def dealt(block: int, parts: int, keys: np.ndarray, *values: np.ndarray) -> Iterable[tuple[int, int, bytes]]:
@@ -140,16 +128,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     source = docs.select(F.pmod(F.xxhash64(ids), F.lit(n_blocks)).cast("int").alias("block"), F.col(id_col).cast("long").alias("doc_id"), ids.alias("id"), F.col(text_col).alias("text"))
     by_block = source.groupBy("block")
 
-    def sketches(pdf: pd.DataFrame) -> Iterable[tuple[int, Sketch]]:
-        return ((i, Sketch(t, window, kmer)) for i, t in zip(pdf["id"], pdf["text"], strict=True))
-
-    def told(found: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        keys = np.concatenate([k for _, k in found] or [np.zeros(0, np.uint64)])
-        return least_by(keys, np.repeat(np.array([i for i, _ in found], np.int64), [len(k) for _, k in found]))
+    def told(pdf: pd.DataFrame, keys: np.ndarray, doc: np.ndarray) -> pd.DataFrame:
+        ids = pdf["id"].to_numpy(np.int64)
+        return frame(dealt(int(pdf["block"].iloc[0]), parts, *least_by(keys, ids[doc])))
 
     def anchors_of_block(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = [(i, np.unique(s.leads)) for i, s in sketches(pdf)]
-        return frame(dealt(int(pdf["block"].iloc[0]), parts, *told(found)))
+        block = Block(pdf["text"], window, kmer)
+        leads, doc = block.leads[block.whole], block.doc[block.whole]
+        new = np.r_[True, (leads[1:] != leads[:-1]) | (doc[1:] != doc[:-1])][: len(leads)]
+        return told(pdf, leads[new], doc[new])
 
     def shared_keys(pdf: pd.DataFrame) -> pd.DataFrame:
         """For each block, its keys of this part that several documents hold, with the smallest doc_id."""
@@ -170,32 +157,32 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if pdf.empty or shared.empty:
             return frame([])
         anchors = np.sort(np.concatenate([unpacked(b, 2)[0] for b in shared["blob"]]))
-        found = []
-        for i, s in sketches(pdf):
-            at = np.minimum(np.searchsorted(anchors, s.leads), len(anchors) - 1)
-            found.append((i, np.unique(s.windows[anchors[at] == s.leads])))
-        return frame(dealt(int(pdf["block"].iloc[0]), parts, *told(found)))
+        block = Block(pdf["text"], window, kmer)
+        leads = block.leads
+        led = block.whole & (anchors[np.minimum(np.searchsorted(anchors, leads), len(anchors) - 1)] == leads)
+        return told(pdf, block.windows[led], block.doc[led])
 
     def kept_of_block(pdf: pd.DataFrame, repeats: pd.DataFrame) -> pd.DataFrame:
         told_by = [unpacked(b, 2) for b in repeats["blob"]]
         keys = np.concatenate([t[0] for t in told_by] or [np.zeros(0, np.uint64)])
         least = np.concatenate([t[1] for t in told_by] or [np.zeros(0, np.int64)])
         order = np.argsort(keys)
-        keys, least = keys[order], least[order]
+        keys, least, ids = keys[order], least[order], pdf["id"].to_numpy(np.int64)
+        block = Block(pdf["text"], window, kmer)
+        covered = np.zeros(len(block.hashes) + 1, np.int32)
+        if len(keys):
+            windows = block.windows
+            at = np.minimum(np.searchsorted(keys, windows), len(keys) - 1)
+            starts = np.flatnonzero(block.whole & (keys[at] == windows) & (least[at] < ids[block.doc]))
+            covered[starts] += 1
+            covered[starts + window] -= 1
+        gone = np.cumsum(covered) > 0
         rows = []
-        for doc_id, (i, s) in zip(pdf["doc_id"], sketches(pdf), strict=True):
-            kept, n = s.words, len(s.words)
-            windows = s.windows
-            if len(keys) and len(windows):
-                at = np.minimum(np.searchsorted(keys, windows), len(keys) - 1)
-                starts = np.flatnonzero((keys[at] == windows) & (least[at] < i))
-                if len(starts):
-                    covered = np.zeros(n + 1, np.int32)
-                    covered[starts] += 1
-                    covered[starts + window] -= 1
-                    kept = [w for w, depth in zip(kept, np.cumsum(covered[:n]).tolist(), strict=True) if not depth]
-            gone, kept = n - len(kept), b" ".join(kept)
-            rows.append((doc_id, n, gone, kept.decode("utf-8", "surrogatepass"), hashlib.sha256(kept).hexdigest()))
+        for number, (doc_id, text) in enumerate(zip(pdf["doc_id"], block.texts, strict=True)):
+            words, here = text.split(), gone[block.first_word[number] : block.first_word[number + 1]]
+            n, n_gone = len(words), int(here.sum())
+            kept = b" ".join([w for w, g in zip(words, here.tolist(), strict=True) if not g] if n_gone else words)
+            rows.append((doc_id, n, n_gone, kept.decode("utf-8", "surrogatepass"), hashlib.sha256(kept).hexdigest()))
         out = pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"])
         return out.astype({"doc_id": "Int64"})
 
