@@ -450,7 +450,45 @@ def prom_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.latest(samples(spark, sf_dir))
 
 
-@query()
+def exposition_sql() -> str:
+    lines: list[str] = []
+
+    def head(name: str) -> None:
+        kind, text = metrics.METRICS[name]
+        lines.extend([f"'# HELP tideglass_{name} {text}'", f"'# TYPE tideglass_{name} {kind}'"])
+
+    def sample(name: str, value: str, label: str = "") -> None:
+        lines.append(f"'tideglass_{name}{label} ' || {value}")
+
+    totals = {"events_total": "processed", "events_per_second": "printf('%.2f', eps)", "drops_total": "'0'"}
+    for name, value in totals.items():
+        head(name)
+        sample(name, value)
+        lines.append("''")
+    head("anomalies_total")
+    for column, label in (("duplicates", "duplicate"), ("out_of_order", "out_of_order"), ("gaps", "sequence_gap"), ("drift", "schema_drift"), ("spikes", "latency_spike")):
+        sample("anomalies_total", column, f'{{type="{label}"}}')
+    lines.append("''")
+    head("incidents_total")
+    sample("incidents_total", "incidents")
+    lines.append("''")
+    head("latency_ms")
+    for i, edge in enumerate(LATENCY_BUCKETS):
+        sample("latency_ms_bucket", f"b{i}", f'{{le="{edge}"}}')
+    sample("latency_ms_bucket", "c", '{le="+Inf"}')
+    sample("latency_ms_sum", "s")
+    sample("latency_ms_count", "c")
+    lines.append("''")
+    head("queue_depth_max")
+    sample("queue_depth_max", "'0'")
+    buckets = ", ".join(f"count(*) filter (ms <= {e}) as b{i}" for i, e in enumerate(LATENCY_BUCKETS))
+    return COUNTED + LATENCY + f""", latency_sums as (select coalesce(sum(ms), 0)::bigint as s, count(*) as c, {buckets} from latencies
+), rates as (select count(*) / ((max(recv_ts_ms) - min(recv_ts_ms)) / 1000.0::double) as eps from ticks
+), texts as (select [{", ".join(lines)}] as l from counted_all, latency_sums, rates)
+select (i - 1)::int as place, l[i] as line from texts, unnest(range(1, len(l) + 1)) as u(i)"""
+
+
+@query(exposition_sql())
 def prometheus_exposition(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ticks(spark, sf_dir)
     return metrics.exposition(rows, counted(spark, sf_dir), latency.histogram(rows))
