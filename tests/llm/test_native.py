@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tideglass.llm import chat, decontaminate, exact_chunks, host_reputation, mixing
-from tideglass.llm.common import ascii_lower, join_groups, without_ids, word_count
+from tideglass.llm.common import ascii_lower, join_groups, materialize, remove_scratch, without_ids, word_count
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -44,6 +44,13 @@ def test_without_ids_keeps_null(spark):
     assert sorted(str(r[0]) for r in without_ids(df, df.filter("doc_id = 2")).collect()) == ["1", "None"]
 
 
+def test_scratch_is_removed(spark):
+    kept = materialize(spark.range(3), "probe")
+    assert kept.count() == 3 and remove_scratch(spark) >= 1
+    with pytest.raises(Exception):
+        spark.read.parquet(kept.inputFiles()[0]).count()
+
+
 def equal_texts(rows):
     groups: dict = {}
     for i, t, _ in rows:

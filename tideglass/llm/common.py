@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,7 @@ BROADCAST_ROWS = 500_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _own_scratch: dict[str, str] = {}
+_written: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -41,10 +44,32 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_scratch(spark: SparkSession) -> int:
+    """Deletes the tables that materialize() wrote in this process; call it when results are stored. Returns how many."""
+    jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += path.getFileSystem(conf).delete(path, True)
+    return n
+
+
+@contextmanager
+def rows_per_batch(spark: SparkSession, rows: int) -> Iterator[None]:
+    """For jobs run inside: how many rows a Python worker is handed at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     only_ascii = F.octet_length(text) == F.char_length(text)
@@ -61,8 +86,8 @@ def in_fold(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, parts: int = 1000) -> DataFrame:
-    """Left join of rows with one row per key, safe for keys that hold a large share of the rows.
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, parts: int = 1000, how: str = "left") -> DataFrame:
+    """Join (left, or inner) of rows with one row per key, safe for keys that hold a large share of the rows.
 
     groups has the keys, the column `size` (rows of that key) and values.
     At most `parts` keys can hold more than total/parts rows, so those
@@ -83,8 +108,9 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     cool = renamed.filter(F.col(size) <= bound)
     drop = [f"__g_{k}" for k in keys]
     in_hot = rows.join(hot, on(rows, hot), "inner").drop(*drop)
-    rest = rows.join(hot.select(*drop), on(rows, hot), "left_anti")
-    return in_hot.unionByName(rest.join(cool, on(rest, cool), "left").drop(*drop))
+    # for an inner join the two sets of keys part the rows by themselves
+    rest = rows if how == "inner" else rows.join(hot.select(*drop), on(rows, hot), "left_anti")
+    return in_hot.unionByName(rest.join(cool, on(rest, cool), how).drop(*drop))
 
 
 def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:

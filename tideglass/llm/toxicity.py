@@ -159,10 +159,11 @@ def score_toxicity(docs: DataFrame, model: FactorizationMachine, threshold: floa
     null id is not held out. Repeated rows are scored each; other columns
     are not looked at; an empty table gives an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # plain values: a worker may not have this module to load a class from
+    shared = docs.sparkSession.sparkContext.broadcast((model.bias, model.terms, model.weights, model.vectors))
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher, machine = TermHasher(), shared.value
+        hasher, machine = TermHasher(), FactorizationMachine(*shared.value)
         for batch in batches:
             texts = batch.pop("text")
             yield batch.assign(score=[machine.score(hasher(t)) for t in texts])
