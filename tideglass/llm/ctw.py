@@ -36,6 +36,8 @@ from .common import in_fold, materialize
 DEPTH, CONTEXTS = 5, 65_000
 #: No UTF-8 text has this byte.
 END = 0xFF
+#: Documents for each part that the grams are dealt to.
+PART_DOCS = 1_000
 #: Positions handled at once, and words of the two-tier count table that are broadcast at most.
 SLICE, FREQUENT = 1 << 20, 200_000
 
@@ -416,18 +418,22 @@ def score_texts(docs: DataFrame, contexts: int = CONTEXTS, depth: int = DEPTH, f
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), in_fold(F.col("doc_id"), modulus, remainder).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     training = source.filter(~F.col("held_out"))
-    grams, words = gather_counts(training, max(16, spark.sparkContext.defaultParallelism * 4), depth)
     ends = training.count()
+    grams, words = gather_counts(training, min(1 << 16, max(32, ends // PART_DOCS)), depth)
     n_words, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     train_tokens, divisor = n_words + ends, n_words + ends + (distinct + (ends > 0)) + 1
     by_count = {r["c"]: r["n"] for r in words.groupBy(F.when(F.col("c") < 1024, F.col("c")).otherwise(1024 + F.floor(F.log2(F.col("c") / 1024) * 64)).cast("long").alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()}
     least = least_bin_for(by_count, frequent)
     least_count = least if least <= 1024 else int(np.ceil(1024 * 2 ** ((least - 1024) / 64)))
     table = {r["word"].encode("utf-8", "surrogatepass"): r["c"] for r in words.filter(F.col("c") >= least_count).limit(2 * frequent).collect()}
-    model = spark.sparkContext.broadcast((learn_tree(grams, contexts, depth), table))
+    tree = learn_tree(grams, contexts, depth)
+    # plain values: a worker may not have this module to load a class from
+    model = spark.sparkContext.broadcast((tree.depth, tree.table, tree.children, tree.pair_last, tree.pair_next, table))
+    del tree
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree, known = model.value
+        *parts, known = model.value
+        tree = ContextTree(*parts)
         logs = {w: float(np.log10((c + 1) / divisor)) for w, c in known.items()}
         row, end = TaskContext.get().partitionId() << 33, float(np.log10((ends + 1) / divisor))
         for batch in batches:
