@@ -8,55 +8,62 @@ aligned within the band that the threshold allows, and linked if they pass;
 classes are the connected components of the links.
 
 Texts of the same words are one from the start. Of the texts that share a
-sketch, each is aligned with the one of least id; those that fail it go
-into further rounds with leaders of their own, twice as many each round,
-until every text is linked to a leader or has been one. So a group of any
-size costs a few alignments per text, never its square.
+sketch, each is aligned with the one of least id, their leader. Those that
+fail are sketched again, without the k-mers they share with the leader (a
+common passage, as a rule), and meet in another round with a new leader.
+So a group of any size, alike or not, costs a few alignments per text and
+not its square. Like any sketch, the rounds find a link with a chance that
+grows with the similarity; README.md has the measured recall.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, join_groups, materialize, without_ids
+from .common import BROADCAST_ROWS, join_groups, materialize, rows_per_batch, without_ids
+from .words import PIECE, hashes_by_text, mixed
 
 KMER, DRAWN, SKETCHES, SIMILARITY = 5, 2, 48, 0.8
-WORD = re.compile(r"[^\W_]+")
-#: A worker remembers the hashes of so many words.
-CACHE_SIZE = 300_000
 NO_ID = -(2**63)
+#: With less than this share of its k-mers left, a text that failed its leader is sketched whole again too.
+MOSTLY = 0.3
+#: First sketch and number of sketches of each portion of the first round.
+PORTIONS = ((0, SKETCHES // 3), (SKETCHES // 3, SKETCHES - SKETCHES // 3))
+#: So often are texts sketched, compared with leaders, and sketched again.
+ROUNDS = 3
+#: Pairs of word arrays that a Python worker holds at once.
+ALIGNED_AT_ONCE = 200
 _SEEDS = np.random.default_rng(2_017).integers(1, 2**63, SKETCHES, dtype=np.uint64)
+#: Words (of both texts) that a diagonal may be behind the best in the first pass.
+LAG = 40
 _MOST = np.uint64(2**64 - 1)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
-_cache: dict[str, int] = {}
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """64-bit hashes of the lower-cased words; of the unspaced runs where a text has no words."""
-    text = (text or "").lower()
-    if len(_cache) > CACHE_SIZE:
-        _cache.clear()
-    out = []
-    for w in WORD.findall(text) or text.split():
-        h = _cache.get(w)
-        if h is None:
-            h = _cache[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-        out.append(h)
-    return np.array(out, np.uint64)
+def words_of(texts: Iterable[str | None]) -> list[np.ndarray]:
+    """64-bit hashes of each text's lower-cased words."""
+    return hashes_by_text([(t or "").lower().encode("utf-8", "surrogatepass") for t in texts])
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64 bits that leaves no pattern (splitmix)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def in_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list[int], list[str | None]]]:
+    """(ids, texts) of each batch, cut after about PIECE characters, so that a batch of long texts is never held as arrays at once."""
+    for batch in batches:
+        ids, texts, size = [], [], 0
+        for i, text in zip(batch["id"], batch["text"], strict=True):
+            ids.append(i)
+            texts.append(text)
+            size += len(text or "")
+            if size >= PIECE:
+                yield ids, texts
+                ids, texts, size = [], [], 0
+        if ids:
+            yield ids, texts
 
 
 def labelled_kmers(words: np.ndarray, k: int = KMER) -> np.ndarray:
@@ -91,10 +98,12 @@ def order_sketches(kmers: np.ndarray, drawn: int = DRAWN) -> np.ndarray:
 
 
 def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
-    """Words to insert, delete or replace to make b of a; None if over `most`.
+    """Words to insert, delete or replace to make b of a, or a few more; None if over `most`.
 
     Only diagonals within the band are followed, each as far as it reaches
-    with 0, 1, 2 ... edits.
+    with 0, 1, 2 ... edits. A first pass drops diagonals that fall behind,
+    which may overstate the distance but never reports one over `most`; if
+    it finds none, all are followed.
     """
     n = min(len(a), len(b))
     differ = np.flatnonzero(a[:n] != b[:n])
@@ -113,13 +122,19 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     surplus = np.bincount(at[: len(a)], minlength=len(values)) - np.bincount(at[len(a) :], minlength=len(values))
     if max(surplus[surplus > 0].sum(), -surplus[surplus < 0].sum()) > most:
         return None  # the words alone differ by more
+    if len(a) == len(b) and (replaced := int((a != b).sum())) <= most:
+        return replaced
     x, y = at[: len(a)].tolist(), at[len(a) :].tolist()
+    for lag in (LAG, None):  # leaving laggards out gives an upper bound, mostly the distance itself
+        found = _furthest_reaching(x, y, most, lag)
+        if found is not None or lag is None:
+            return found
+
+
+def _furthest_reaching(x: list[int], y: list[int], most: int, lag: int | None) -> int | None:
+    """Edits to make y of x by furthest-reaching diagonals; with lag, diagonals so far behind the best are given up."""
     n, m = len(x), len(y)
     goal, far = m - n, {0: 0}
-    while far[0] < min(n, m) and x[far[0]] == y[far[0]]:
-        far[0] += 1
-    if goal == 0 and far[0] >= n:
-        return 0
     for d in range(1, most + 1):
         reach = {}
         # a diagonal further from the goal than the edits left cannot end in time
@@ -131,9 +146,12 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
             while i < n and i + k < m and x[i] == y[i + k]:
                 i += 1
             reach[k] = i
-        far = reach
-        if far.get(goal, -1) >= n:
+        if reach.get(goal, -1) >= n:
             return d
+        if lag is not None and reach:
+            best = max(2 * i + k for k, i in reach.items()) - lag
+            reach = {k: i for k, i in reach.items() if 2 * i + k >= best}
+        far = reach
     return None
 
 
@@ -143,14 +161,20 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return not longer or edit_distance(a, b, int((1 - similarity) * longer + 1e-9)) is not None
 
 
+def sketches_apart(own: np.ndarray, leading: np.ndarray) -> np.ndarray:
+    """Sketches of a text's k-mers that its leader lacks; of all its k-mers too where those are most of it."""
+    kmers = labelled_kmers(own.astype(np.uint64))
+    rest = kmers[~np.isin(kmers, labelled_kmers(leading.astype(np.uint64)))]
+    return np.concatenate([order_sketches(rest), order_sketches(kmers) if len(rest) < MOSTLY * len(kmers) else kmers[:0]])
+
+
 def sketched(docs: DataFrame) -> DataFrame:
     """id, key1, key2 (128 bits that stand for the words), n_words, sketches; one row per input row."""
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for ids, texts in in_pieces(batches):
             rows = []
-            for i, text in zip(batch["id"], batch["text"], strict=True):
-                words = word_hashes(text)
+            for i, words in zip(ids, words_of(texts), strict=True):
                 key = xxhash.xxh3_128_digest(words.tobytes())
                 rows.append((i, *np.frombuffer(key, np.int64).tolist(), len(words), order_sketches(labelled_kmers(words)).view(np.int64)))
             yield pd.DataFrame(rows, columns=["id", "key1", "key2", "n_words", "sketches"])
@@ -165,8 +189,8 @@ def word_arrays(docs: DataFrame, ids: DataFrame) -> DataFrame:
     chosen = docs.join(F.broadcast(wanted) if few else wanted, docs["id"] == wanted["__id"], "left_semi")
 
     def arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "words": [word_hashes(t).astype(np.uint32).tobytes() for t in batch["text"]]})
+        for ids, texts in in_pieces(batches):
+            yield pd.DataFrame({"id": ids, "words": [w.astype(np.uint32).tobytes() for w in words_of(texts)]})
 
     return chosen.mapInPandas(arrays, "id long, words binary")
 
@@ -175,48 +199,88 @@ def aligned(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """(member, leader, linked) for materialised distinct pairs."""
     ids = materialize(pairs.select(F.col("member").alias("id")).union(pairs.select("leader")).distinct(), "wanted")
     arrays = materialize(word_arrays(docs, ids), "words")
-    own = pairs.join(arrays.withColumnRenamed("words", "own"), pairs["member"] == arrays["id"]).drop("id")
+    n_pairs = pairs.count()
+    few = F.broadcast if n_pairs <= BROADCAST_ROWS else lambda df: df  # else both sides are shuffled
+    own = arrays.withColumnRenamed("words", "own").join(few(pairs), F.col("id") == F.col("member")).drop("id")
     leading = pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("led"))
-    leading = leading.join(arrays, leading["leader"] == arrays["id"]).select("leader", "led", "words")
-    both = join_groups(own, leading, ["leader"], "led", pairs.count(), 100).select("member", "leader", "own", "words")
+    leading = arrays.join(few(leading), F.col("id") == F.col("leader")).select("leader", "led", "words")
+    both = join_groups(own, leading, ["leader"], "led", n_pairs, 100, how="inner").select("member", "leader", "own", "words")
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            linked = [similar(np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32), similarity) for a, b in zip(batch["own"], batch["words"], strict=True)]
-            yield pd.DataFrame({"member": batch["member"], "leader": batch["leader"], "linked": linked})
+            rows = []
+            for member, leader, own, words in batch.itertuples(index=False):
+                a, b = np.frombuffer(own, np.uint32), np.frombuffer(words, np.uint32)
+                linked = similar(a, b, similarity)
+                rows.append((member, leader, linked, None if linked else sketches_apart(a, b).view(np.int64)))
+            yield pd.DataFrame(rows, columns=["member", "leader", "linked", "sketches"])
 
-    return both.mapInPandas(align, "member long, leader long, linked boolean")
+    with rows_per_batch(docs.sparkSession, ALIGNED_AT_ONCE):
+        return materialize(both.mapInPandas(align, "member long, leader long, linked boolean, sketches array<long>"), "verdicts")
 
 
-def find_links(docs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Verified (member, leader) links between texts that share a sketch."""
-    buckets = texts.select("id", F.explode("sketches").alias("key"))
-    links, leaders = None, 1
-    while True:
-        sizes = buckets.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-        sizes = materialize(sizes, "buckets")
-        if sizes.isEmpty():
-            return links
-        total = sizes.agg(F.sum("members")).first()[0]
-        shared = buckets.join(sizes.select(F.col("key").alias("__k")), F.col("key") == F.col("__k"), "left_semi")
-        if leaders == 1:
-            led = join_groups(shared, sizes, ["key"], "members", total).select("id", "key", "leader")
-        else:  # what failed before: several leaders for each bucket
-            rank = F.row_number().over(Window.partitionBy("key").orderBy("id"))
-            chosen = shared.withColumn("rank", rank).filter(F.col("rank") <= leaders).select("key", F.col("id").alias("leader"))
-            lists = chosen.groupBy("key").agg(F.collect_list("leader").alias("leaders"))
-            lists = lists.join(sizes.drop("leader"), ["key"])
-            led = join_groups(shared, lists, ["key"], "members", total).select("id", "key", F.explode("leaders").alias("leader"))
-        led = materialize(led, "led")
-        pairs = materialize(led.filter("id <> leader").select(F.greatest("id", "leader").alias("member"), F.least("id", "leader").alias("leader")).distinct(), "pairs")
-        verdicts = materialize(aligned(docs, pairs, similarity).groupBy("member", "leader").agg(F.max("linked").alias("linked")), "verdicts")
-        found = verdicts.filter("linked").select("member", "leader")
+def compare(docs: DataFrame, buckets: DataFrame, known: DataFrame | None, similarity: float) -> DataFrame | None:
+    """Verdicts on the members (id, key, label) of shared buckets and their leaders, but pairs judged before; None without pairs.
+
+    A bucket's leader is its least id. Texts that are connected with their
+    leader already (of one label) are not compared with it, as that can add
+    no class; a bucket of such is left out.
+    """
+    sizes = buckets.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("most"), F.count(F.lit(1)).alias("members"), F.min_by("label", "id").alias("its"), F.min("label").alias("l1"), F.max("label").alias("l2"))
+    sizes = materialize(sizes.filter("members > 1 and l1 <> l2").drop("l1", "l2"), "buckets")
+    if sizes.isEmpty():
+        return None
+    # a bucket of two is its least and its largest id; only others meet their members in a join
+    two = sizes.filter("members = 2").select(F.col("most").alias("member"), "leader")
+    large = sizes.filter("members > 2").drop("most")
+    keyed = buckets.select(F.col("id").alias("member"), "key", "label")
+    if large.count() <= BROADCAST_ROWS:
+        met = keyed.join(F.broadcast(large), "key")
+    else:
+        met = join_groups(keyed, large, ["key"], "members", large.agg(F.sum("members")).first()[0], how="inner")
+    pairs = met.filter("leader < member and label <> its").select("member", "leader").unionByName(two).distinct()
+    if known is not None:
+        pairs = pairs.join(known.select("member", "leader"), ["member", "leader"], "left_anti")
+    return aligned(docs, materialize(pairs, "pairs"), similarity)
+
+
+def not_connected(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs that have not come to be connected by other links."""
+    for side in ("member", "leader"):
+        own = labels.select(F.col("node").alias(f"__{side}"), F.col("label").alias(f"__{side}_label"))
+        pairs = pairs.join(own, F.col(side) == F.col(f"__{side}"), "left").withColumn(f"__{side}_label", F.coalesce(f"__{side}_label", side))
+    return pairs.filter("__member_label <> __leader_label")
+
+
+def find_links(docs: DataFrame, texts: DataFrame, similarity: float, rounds: int) -> DataFrame | None:
+    """Verified (member, leader) links between texts that share a sketch.
+
+    The sketches are spent in portions, as a link that the first ones find
+    need not be found again by the others. Then a text that failed a leader,
+    and is not connected with it by now, goes on under it, with the sketches that leave the leader out.
+    """
+    links = labels = known = failed = None
+    for number in range(rounds + len(PORTIONS) - 1):
+        if number < len(PORTIONS):
+            first, count = PORTIONS[number]
+            buckets = texts.select("id", F.explode(F.slice("sketches", first + 1, count)).alias("key"))
+        else:
+            buckets = not_connected(failed, labels).select(F.col("member").alias("id"), F.explode("sketches").alias("key"), "leader").select("id", F.xxhash64("leader", "key").alias("key")).distinct()
+        if labels is None:
+            buckets = buckets.withColumn("label", F.col("id"))
+        else:
+            buckets = buckets.join(labels, F.col("id") == F.col("node"), "left").select("id", "key", F.coalesce("label", "id").alias("label"))
+        verdicts = compare(docs, materialize(buckets, "rows") if number else buckets, known, similarity)
+        if verdicts is None:
+            if number + 1 < len(PORTIONS):
+                continue
+            break
+        found, apart = verdicts.filter("linked").select("member", "leader"), verdicts.filter(~F.col("linked"))
         links = found if links is None else links.union(found)
-        # a member stays in its bucket for another round unless it leads there or is linked to a leader there
-        done = led.join(verdicts, (F.greatest(led["id"], led["leader"]) == verdicts["member"]) & (F.least(led["id"], led["leader"]) == verdicts["leader"]), "left")
-        settled = done.groupBy(led["id"], led["key"]).agg(F.max((led["id"] == led["leader"]) | F.coalesce("linked", F.lit(False))).alias("settled"))
-        buckets = materialize(settled.filter(~F.col("settled")).select("id", "key"), "rest")
-        leaders *= 2
+        known = verdicts.select("member", "leader") if known is None else known.union(verdicts.select("member", "leader"))
+        failed = apart if failed is None or number >= len(PORTIONS) else failed.union(apart)
+        labels = materialize(components(links), "components")
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -241,15 +305,14 @@ def components(links: DataFrame) -> DataFrame:
         nodes = nodes.select("node", "degree", "label")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
     """One row per input row: doc_id, n_words, class_id, class_size, kept.
 
     class_id is the least doc_id of the class, class_size its rows, kept
     whether doc_id is that id. Two texts are linked if their edit similarity
     over words is `similarity` or more and they share a sketch; classes are
-    chains of links. Words are lower-cased letters and digits (unspaced runs
-    where a text has none); texts of the same words are alike, so all texts
-    without any, null ones too, are one class. A null id is less than any
+    chains of links. Words are unspaced runs, lower-cased; texts of the same
+    words are alike, so all texts without any, null ones too, are one class. A null id is less than any
     other. Rows that repeat a doc_id are one document and share a class.
     Empty in, empty out; other columns are not looked at.
     """
@@ -261,7 +324,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     twice = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("id").alias("__id"))
     tied = rows.join(twice, rows["id"] == twice["__id"], "left_semi").select("id", "key1", "key2").join(texts.select("key1", "key2", F.col("id").alias("rep")), ["key1", "key2"])
     links = tied.filter("id <> rep").select(F.col("id").alias("member"), F.col("rep").alias("leader"))
-    found = find_links(source, texts.select("id", "sketches"), similarity)
+    found = find_links(source, texts.select("id", "sketches"), similarity, rounds)
     links = materialize(links if found is None else links.union(found), "links")
     labels = components(links)
     classed = texts.join(labels, texts["id"] == labels["node"], "left").select("key1", "key2", "copies", F.coalesce("label", "id").alias("class_id"))
