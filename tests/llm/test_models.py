@@ -289,6 +289,72 @@ def test_near_duplicates_brute_force(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({r["class_id"] for r in got.values()})
 
 
+def classes_of(arrays):
+    """The least id of each text's class, by comparing all pairs."""
+    root = {i: i for i in arrays}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x in sorted(arrays):
+        for y in arrays:
+            if x < y and find(x) != find(y) and order_minhash.similar(arrays[x], arrays[y], 0.8):
+                a, b = sorted((find(x), find(y)))
+                root[b] = a
+    return {i: find(i) for i in arrays}
+
+
+def test_buckets_are_compared_whole(spark):
+    """Links between texts that fail the leader of their bucket, or pass it, are found."""
+    rng = random.Random(31)
+    base = prose(rng, 200, 5000).split()
+    rows = []
+    for i in range(40):
+        w = list(base)
+        for k in rng.sample(range(200), 22):
+            w[k] = f"n{i}x{k}"
+        rows.append((i, " ".join(w)))
+    arrays = dict(zip(range(40), order_minhash.words_of([t for _, t in rows])))
+    everyone = spark.createDataFrame([(i, 200) for i in range(40)], "id long, n_words long")
+    everyone = everyone.withColumn("sketches", F.concat(F.transform(F.sequence(F.lit(1), F.lit(order_minhash.ORDERED)), lambda k: F.xxhash64("id", k)), F.array(F.lit(7).cast("long"))))
+    docs = documents(spark, rows).select(F.col("doc_id").alias("id"), "text")
+    links = order_minhash.find_links(docs, everyone, 0.8, 1)
+    got = {r["node"]: r["label"] for r in order_minhash.components(links).collect()}
+    assert {i: got.get(i, i) for i in arrays} == classes_of(arrays)
+
+
+def test_short_texts_meet_exactly():
+    """Of two short texts within reach at least one piece is shared, wherever the edits are."""
+    rng = random.Random(32)
+    for _ in range(3000):
+        n = rng.randrange(5, 31)
+        a = [rng.randrange(50) for _ in range(n)]
+        b = list(a)
+        for _ in range(rng.randrange(1, n // 5 + 2)):
+            k = rng.randrange(len(b) + 1)
+            b[k : k + rng.randrange(2)] = [rng.randrange(50)] * rng.randrange(2)
+        x, y = np.array(a, np.uint64), np.array(b, np.uint64)
+        if order_minhash.similar(x, y, 0.8) and a != b:
+            assert set(order_minhash.keys_of(x).tolist()) & set(order_minhash.keys_of(y).tolist()), (a, b)
+
+
+def test_recall_at_the_threshold():
+    """At similarity 0.8 by scattered substitutions, nearly all pairs share a bucket."""
+    rng = random.Random(33)
+    for n in (5, 10, 20, 40, 100, 300):
+        met = 0
+        for _ in range(100):
+            a = np.array([rng.getrandbits(60) for _ in range(n)], np.uint64)
+            b = a.copy()
+            for k in rng.sample(range(n), n // 5):
+                b[k] = rng.getrandbits(60)
+            met += bool(set(order_minhash.keys_of(a).tolist()) & set(order_minhash.keys_of(b).tolist()))
+        print(n, met)
+        assert met >= 97, n
+
+
 def test_groups_that_share_a_passage_stay_apart(spark):
     rng = random.Random(2)
     passage = prose(rng, 80, 5000)

@@ -7,13 +7,16 @@ edit distance, moves of passages included. Texts that share a sketch are
 aligned within the band that the threshold allows, and linked if they pass;
 classes are the connected components of the links.
 
-Texts of the same words are one from the start. Of the texts that share a
-sketch, each is aligned with the one of least id, their leader. Those that
-fail are sketched again, without the k-mers they share with the leader (a
-common passage, as a rule), and meet in another round with a new leader.
-So a group of any size, alike or not, costs a few alignments per text and
-not its square. Like any sketch, the rounds find a link with a chance that
-grows with the similarity; README.md has the measured recall.
+Texts of the same words are one from the start. Sketches of two k-mers come
+first, as they seldom join strangers; those of one k-mer follow, which texts
+at the threshold share far more often. Of the texts that share a sketch, each
+is aligned with a leader, in a few rounds with other leaders. What is not
+connected then is compared pair by pair, so every pair that shares a sketch is
+judged or connected; the lengths and the counts of words rule out most of
+these pairs before the texts are fetched. Texts of at most SHORT words are met
+through pieces instead, of which an edited text keeps one: no link is missed
+there. Other links are found with a chance that grows with the similarity;
+README.md has the measured recall.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, join_groups, materialize, rows_per_batch, without_ids
@@ -31,12 +34,16 @@ from .words import PIECE, hashes_by_text, mixed
 
 KMER, DRAWN, SKETCHES, SIMILARITY = 5, 2, 48, 0.8
 NO_ID = -(2**63)
-#: With less than this share of its k-mers left, a text that failed its leader is sketched whole again too.
-MOSTLY = 0.3
-#: First sketch and number of sketches of each portion of the first round.
-PORTIONS = ((0, SKETCHES // 3), (SKETCHES // 3, SKETCHES - SKETCHES // 3))
-#: So often are texts sketched, compared with leaders, and sketched again.
+#: So many sketches of DRAWN k-mers are kept; then come SKETCHES of one, which every pair that shares the former shares too.
+ORDERED = SKETCHES // 3
+#: Texts of up to so many words are met exactly, by pieces.
+SHORT = 30
+#: Rounds of leaders before the pairs that are left are compared one by one.
 ROUNDS = 3
+#: A bucket is compared pair by pair in cells of about so many times so many members.
+BLOCK = 200
+#: Counters of a text's words, and pairs that are aligned before what they connect is left out of the others.
+BINS, PAIRS_AT_ONCE = 128, 300_000
 #: Pairs of word arrays that a Python worker holds at once.
 ALIGNED_AT_ONCE = 200
 _SEEDS = np.random.default_rng(2_017).integers(1, 2**63, SKETCHES, dtype=np.uint64)
@@ -84,17 +91,66 @@ def labelled_kmers(words: np.ndarray, k: int = KMER) -> np.ndarray:
 
 def order_sketches(kmers: np.ndarray, drawn: int = DRAWN) -> np.ndarray:
     """One 64-bit key per sketch: its number and its `drawn` least k-mers, combined in text order."""
-    if not len(kmers):
-        return kmers
+    return _sketches(kmers, (drawn,))[0] if len(kmers) else kmers
+
+
+def _sketches(kmers: np.ndarray, drawn: tuple[int, ...]) -> list[np.ndarray]:
+    """order_sketches() for each number of k-mers to draw."""
     ranks = (kmers[None, :] ^ _SEEDS[:, None]) * _GOLD
     every, least = np.arange(SKETCHES), []
-    for _ in range(min(drawn, kmers.size)):
+    for _ in range(min(max(drawn), kmers.size)):
         least.append(ranks.argmin(axis=1))
         ranks[every, least[-1]] = _MOST
-    key = _SEEDS.copy()
-    for at in np.sort(np.stack(least), axis=0):
-        key = mixed(key * _GOLD + kmers[at])
-    return key
+    found = []
+    for n in drawn:
+        key = _SEEDS.copy()
+        for at in np.sort(np.stack(least[:n]), axis=0):
+            key = mixed(key * _GOLD + kmers[at])
+        found.append(key)
+    return found
+
+
+def most_edits(longer: int, similarity: float) -> int:
+    """Edits that texts may be apart, the longer of so many words."""
+    return int((1 - similarity) * longer + 1e-9)
+
+
+def piece_keys(words: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """Keys of which two texts in reach share one if the shorter has at most SHORT words.
+
+    With d edits allowed the longer text is cut into d + 1 pieces. The first
+    piece i before whose end there are at most i edits is whole, with i
+    edits before it and d - i at most after it, which bounds where it is in
+    the shorter one.
+    """
+    n, keys = len(words), []
+    last = int(n / similarity + 1e-9) if n <= SHORT else n
+    for longer in range(n, last + 1 if n * similarity <= SHORT + 1e-9 else n):
+        d = most_edits(longer, similarity)
+        if not d or longer - n > d:
+            continue
+        cuts = [longer * i // (d + 1) for i in range(d + 2)]
+        for i in range(d + 1):
+            start, size = cuts[i], cuts[i + 1] - cuts[i]
+            if n > SHORT:
+                places = [start]
+            else:
+                shift = n - longer
+                places = range(max(0, start - i, start + shift - (d - i)), min(n - size, start + i, start + shift + (d - i)) + 1)
+                if longer == n:
+                    places = {start, *places}
+            for at in places:
+                keys.append(xxhash.xxh3_64_intdigest(words[at : at + size].tobytes(), longer * 1000 + i))
+    return np.unique(np.array(keys, np.uint64))
+
+
+def keys_of(words: np.ndarray) -> np.ndarray:
+    """The buckets of a text: ORDERED sketches of DRAWN k-mers, SKETCHES of one, then pieces; of a short text pieces only."""
+    pieces = piece_keys(words)
+    if len(words) <= SHORT:
+        return np.concatenate([_SEEDS[:0], pieces])
+    ordered, single = _sketches(labelled_kmers(words), (DRAWN, 1))
+    return np.concatenate([ordered[:ORDERED], single, pieces])
 
 
 def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
@@ -158,14 +214,12 @@ def _furthest_reaching(x: list[int], y: list[int], most: int, lag: int | None) -
 def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     """Whether 1 - edits / words of the longer text is at least `similarity`."""
     longer = max(len(a), len(b))
-    return not longer or edit_distance(a, b, int((1 - similarity) * longer + 1e-9)) is not None
+    return not longer or edit_distance(a, b, most_edits(longer, similarity)) is not None
 
 
-def sketches_apart(own: np.ndarray, leading: np.ndarray) -> np.ndarray:
-    """Sketches of a text's k-mers that its leader lacks; of all its k-mers too where those are most of it."""
-    kmers = labelled_kmers(own.astype(np.uint64))
-    rest = kmers[~np.isin(kmers, labelled_kmers(leading.astype(np.uint64)))]
-    return np.concatenate([order_sketches(rest), order_sketches(kmers) if len(rest) < MOSTLY * len(kmers) else kmers[:0]])
+def bag(words: np.ndarray) -> np.ndarray:
+    """Counts of the words by hash, 255 at most: an edit takes one off a counter, adds one to another, or both."""
+    return np.minimum(np.bincount((words % BINS).astype(np.int64), minlength=BINS), 255).astype(np.uint8)
 
 
 def sketched(docs: DataFrame) -> DataFrame:
@@ -176,21 +230,21 @@ def sketched(docs: DataFrame) -> DataFrame:
             rows = []
             for i, words in zip(ids, words_of(texts), strict=True):
                 key = xxhash.xxh3_128_digest(words.tobytes())
-                rows.append((i, *np.frombuffer(key, np.int64).tolist(), len(words), order_sketches(labelled_kmers(words)).view(np.int64)))
+                rows.append((i, *np.frombuffer(key, np.int64).tolist(), len(words), keys_of(words).view(np.int64)))
             yield pd.DataFrame(rows, columns=["id", "key1", "key2", "n_words", "sketches"])
 
     return docs.mapInPandas(sketch, "id long, key1 long, key2 long, n_words long, sketches array<long>")
 
 
-def word_arrays(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, words): the word hashes, four bytes each, of the documents in ids."""
+def word_arrays(docs: DataFrame, ids: DataFrame, counts: bool = False) -> DataFrame:
+    """(id, words): the word hashes, four bytes each, of the documents in ids; or their counts."""
     wanted = ids.withColumnRenamed("id", "__id")
     few = ids.count() <= BROADCAST_ROWS
     chosen = docs.join(F.broadcast(wanted) if few else wanted, docs["id"] == wanted["__id"], "left_semi")
 
     def arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for ids, texts in in_pieces(batches):
-            yield pd.DataFrame({"id": ids, "words": [w.astype(np.uint32).tobytes() for w in words_of(texts)]})
+            yield pd.DataFrame({"id": ids, "words": [(bag(w) if counts else w.astype(np.uint32)).tobytes() for w in words_of(texts)]})
 
     return chosen.mapInPandas(arrays, "id long, words binary")
 
@@ -211,39 +265,89 @@ def aligned(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
             rows = []
             for member, leader, own, words in batch.itertuples(index=False):
                 a, b = np.frombuffer(own, np.uint32), np.frombuffer(words, np.uint32)
-                linked = similar(a, b, similarity)
-                rows.append((member, leader, linked, None if linked else sketches_apart(a, b).view(np.int64)))
-            yield pd.DataFrame(rows, columns=["member", "leader", "linked", "sketches"])
+                rows.append((member, leader, similar(a, b, similarity)))
+            yield pd.DataFrame(rows, columns=["member", "leader", "linked"])
 
     with rows_per_batch(docs.sparkSession, ALIGNED_AT_ONCE):
-        return materialize(both.mapInPandas(align, "member long, leader long, linked boolean, sketches array<long>"), "verdicts")
+        return materialize(both.mapInPandas(align, "member long, leader long, linked boolean"), "verdicts")
+
+
+def near_in_length(a: str, b: str, similarity: float) -> Column:
+    """Whether texts of these numbers of words can be similar at all."""
+    return F.abs(F.col(a) - F.col(b)) <= F.floor(F.greatest(a, b) * (1 - similarity) + 1e-9)
+
+
+def not_judged(pairs: DataFrame, known: DataFrame | None) -> DataFrame:
+    """Distinct (member, leader), the greater id first, less the pairs in known."""
+    pairs = pairs.select(F.greatest("member", "leader").alias("member"), F.least("member", "leader").alias("leader")).distinct()
+    return pairs if known is None else pairs.join(known.select("member", "leader"), ["member", "leader"], "left_anti")
+
+
+def open_buckets(buckets: DataFrame, order: Column) -> DataFrame:
+    """key, members, and as structs the first and the last member, of the buckets that hold several labels."""
+    one = F.struct(order.alias("rank"), "id", "label", "n_words")
+    sizes = buckets.groupBy("key").agg(F.min(one).alias("first"), F.max(one).alias("last"), F.count(F.lit(1)).alias("members"), F.min("label").alias("l1"), F.max("label").alias("l2"))
+    return materialize(sizes.filter("l1 <> l2").drop("l1", "l2"), "buckets")
+
 
+def in_buckets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows with the values of their bucket, those in wanted only."""
+    if wanted.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(wanted), "key")
+    return join_groups(rows, wanted, ["key"], "members", wanted.agg(F.sum("members")).first()[0], how="inner")
 
-def compare(docs: DataFrame, buckets: DataFrame, known: DataFrame | None, similarity: float) -> DataFrame | None:
-    """Verdicts on the members (id, key, label) of shared buckets and their leaders, but pairs judged before; None without pairs.
 
-    A bucket's leader is its least id. Texts that are connected with their
-    leader already (of one label) are not compared with it, as that can add
-    no class; a bucket of such is left out.
+def compare(docs: DataFrame, buckets: DataFrame, known: DataFrame | None, similarity: float, number: int = 0) -> DataFrame | None:
+    """Verdicts on the members (id, key, label, n_words) of shared buckets and their leaders, but pairs judged before; None without pairs.
+
+    A bucket's leader is its least id, or another by `number`. Texts that
+    are connected with their leader already (of one label) are not compared
+    with it, as that can add no class; a bucket of such is left out.
     """
-    sizes = buckets.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("most"), F.count(F.lit(1)).alias("members"), F.min_by("label", "id").alias("its"), F.min("label").alias("l1"), F.max("label").alias("l2"))
-    sizes = materialize(sizes.filter("members > 1 and l1 <> l2").drop("l1", "l2"), "buckets")
+    sizes = open_buckets(buckets, F.xxhash64(F.lit(number), "id") if number else F.col("id"))
     if sizes.isEmpty():
         return None
-    # a bucket of two is its least and its largest id; only others meet their members in a join
-    two = sizes.filter("members = 2").select(F.col("most").alias("member"), "leader")
-    large = sizes.filter("members > 2").drop("most")
-    keyed = buckets.select(F.col("id").alias("member"), "key", "label")
-    if large.count() <= BROADCAST_ROWS:
-        met = keyed.join(F.broadcast(large), "key")
-    else:
-        met = join_groups(keyed, large, ["key"], "members", large.agg(F.sum("members")).first()[0], how="inner")
-    pairs = met.filter("leader < member and label <> its").select("member", "leader").unionByName(two).distinct()
-    if known is not None:
-        pairs = pairs.join(known.select("member", "leader"), ["member", "leader"], "left_anti")
+    # a bucket of two is its first and its last; only others meet their members in a join
+    lead = [F.col("first.id").alias("leader"), F.col("first.label").alias("its"), F.col("first.n_words").alias("led")]
+    two = sizes.filter("members = 2").select(F.col("last.id").alias("member"), F.col("last.label").alias("label"), F.col("last.n_words").alias("n_words"), *lead)
+    large = sizes.filter("members > 2").select("key", "members", *lead)
+    met = in_buckets(buckets.withColumnRenamed("id", "member"), large).select(two.columns).unionByName(two)
+    pairs = not_judged(met.filter((F.col("label") != F.col("its")) & near_in_length("n_words", "led", similarity)), known)
     return aligned(docs, materialize(pairs, "pairs"), similarity)
 
 
+def all_pairs(docs: DataFrame, buckets: DataFrame, known: DataFrame | None, similarity: float) -> DataFrame | None:
+    """The (member, leader) pairs of all buckets that are neither connected nor judged nor too far apart in words; None without any."""
+    sizes = open_buckets(buckets, F.col("id")).select("key", "members")
+    if sizes.isEmpty():
+        return None
+    rows = in_buckets(buckets, sizes).withColumn("blocks", F.ceil(F.col("members") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+    rows = materialize(rows.select("key", "id", "label", "n_words", "blocks", "block"), "members")
+    # each pair of blocks is a cell of its own
+    left = rows.withColumn("other", F.explode(F.sequence("block", F.col("blocks") - 1))).drop("blocks")
+    right = rows.select("key", F.col("id").alias("id2"), F.col("label").alias("label2"), F.col("n_words").alias("n2"), F.col("block").alias("other"), F.explode(F.sequence(F.lit(0).cast("long"), "block")).alias("block"))
+    met = left.join(right, ["key", "block", "other"]).filter("label <> label2 and (block < other or id < id2)").filter(near_in_length("n_words", "n2", similarity))
+    pairs = materialize(not_judged(met.select(F.col("id").alias("member"), F.col("id2").alias("leader")), known), "all-pairs")
+    if pairs.isEmpty():
+        return None
+    ids = materialize(pairs.select(F.col("member").alias("id")).union(pairs.select("leader")).distinct(), "wanted")
+    bags = materialize(word_arrays(docs, ids, counts=True), "bags")
+    both = pairs.join(bags.select(F.col("id").alias("member"), F.col("words").alias("own")), "member").join(bags.select(F.col("id").alias("leader"), "words"), "leader")
+    lengths = rows.select("id", "n_words").distinct()
+    both = both.join(lengths.select(F.col("id").alias("member"), F.col("n_words").alias("n1")), "member").join(lengths.select(F.col("id").alias("leader"), F.col("n_words").alias("n2")), "leader")
+
+    def plausible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                own, words = (np.frombuffer(b"".join(batch[c]), np.uint8).reshape(-1, BINS).astype(np.int16) for c in ("own", "words"))
+                apart = own - words
+                edits = np.maximum(np.maximum(apart, 0).sum(axis=1), np.maximum(-apart, 0).sum(axis=1))
+                most = np.floor((1 - similarity) * np.maximum(batch["n1"], batch["n2"]) + 1e-9)
+                yield batch.loc[edits <= most.to_numpy(), ["member", "leader"]]
+
+    return materialize(both.mapInPandas(plausible, "member long, leader long"), "plausible")
+
+
 def not_connected(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs that have not come to be connected by other links."""
     for side in ("member", "leader"):
@@ -253,33 +357,46 @@ def not_connected(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def find_links(docs: DataFrame, texts: DataFrame, similarity: float, rounds: int) -> DataFrame | None:
-    """Verified (member, leader) links between texts that share a sketch.
+    """Verified (member, leader) links that connect all similar texts (id, n_words, sketches) which share a bucket.
 
-    The sketches are spent in portions, as a link that the first ones find
-    need not be found again by the others. Then a text that failed a leader,
-    and is not connected with it by now, goes on under it, with the sketches that leave the leader out.
+    The sketches of several k-mers are compared with leaders first, then the
+    others, in `rounds` rounds. Then every pair that shares a bucket and is
+    neither judged nor connected is compared, in portions, as a link of the
+    first ones spares later pairs.
     """
-    links = labels = known = failed = None
-    for number in range(rounds + len(PORTIONS) - 1):
-        if number < len(PORTIONS):
-            first, count = PORTIONS[number]
-            buckets = texts.select("id", F.explode(F.slice("sketches", first + 1, count)).alias("key"))
-        else:
-            buckets = not_connected(failed, labels).select(F.col("member").alias("id"), F.explode("sketches").alias("key"), "leader").select("id", F.xxhash64("leader", "key").alias("key")).distinct()
+    links = labels = known = None
+    sketched_in = F.col("n_words") > SHORT
+    coarse = texts.filter(sketched_in).select("id", "n_words", F.explode(F.slice("sketches", 1, ORDERED)).alias("key"))
+    fine = F.when(sketched_in, F.slice("sketches", ORDERED + 1, 2**30)).otherwise(F.col("sketches"))
+    fine = texts.select("id", "n_words", F.explode(fine).alias("key"))
+
+    def labelled(rows: DataFrame) -> DataFrame:
         if labels is None:
-            buckets = buckets.withColumn("label", F.col("id"))
-        else:
-            buckets = buckets.join(labels, F.col("id") == F.col("node"), "left").select("id", "key", F.coalesce("label", "id").alias("label"))
-        verdicts = compare(docs, materialize(buckets, "rows") if number else buckets, known, similarity)
-        if verdicts is None:
-            if number + 1 < len(PORTIONS):
-                continue
-            break
-        found, apart = verdicts.filter("linked").select("member", "leader"), verdicts.filter(~F.col("linked"))
+            return rows.withColumn("label", F.col("id"))
+        return rows.join(labels, F.col("id") == F.col("node"), "left").select("id", "key", "n_words", F.coalesce("label", "id").alias("label"))
+
+    def learn(verdicts: DataFrame) -> None:
+        nonlocal links, labels, known
+        found, apart = verdicts.filter("linked").select("member", "leader"), verdicts.filter(~F.col("linked")).select("member", "leader")
         links = found if links is None else links.union(found)
-        known = verdicts.select("member", "leader") if known is None else known.union(verdicts.select("member", "leader"))
-        failed = apart if failed is None or number >= len(PORTIONS) else failed.union(apart)
+        known = apart if known is None else known.union(apart)
         labels = materialize(components(links), "components")
+
+    for number in range(rounds):
+        verdicts = compare(docs, materialize(labelled(fine if number else coarse), "rows"), known, similarity, number)
+        if verdicts is not None:
+            learn(verdicts)
+        elif number:
+            return links
+    pairs = all_pairs(docs, materialize(labelled(fine), "rows"), known, similarity)
+    if pairs is None or pairs.isEmpty():
+        return links
+    portions = max(1, -(-pairs.count() // PAIRS_AT_ONCE))
+    for number in range(portions):
+        portion = pairs.filter(F.pmod(F.xxhash64("member", "leader"), F.lit(portions)) == number)
+        if labels is not None:
+            portion = not_connected(portion, labels).select("member", "leader")
+        learn(aligned(docs, materialize(portion, "pairs"), similarity))
     return links
 
 
@@ -318,13 +435,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, rounds: int
     """
     source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
     rows = materialize(sketched(source), "sketches")
-    texts = rows.groupBy("key1", "key2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("sketches").alias("sketches"))
+    texts = rows.groupBy("key1", "key2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("n_words").alias("n_words"), F.first("sketches").alias("sketches"))
     texts = materialize(texts, "texts")
     # rows that repeat an id tie their texts together
     twice = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("id").alias("__id"))
     tied = rows.join(twice, rows["id"] == twice["__id"], "left_semi").select("id", "key1", "key2").join(texts.select("key1", "key2", F.col("id").alias("rep")), ["key1", "key2"])
     links = tied.filter("id <> rep").select(F.col("id").alias("member"), F.col("rep").alias("leader"))
-    found = find_links(source, texts.select("id", "sketches"), similarity, rounds)
+    found = find_links(source, texts.select("id", "n_words", "sketches"), similarity, rounds)
     links = materialize(links if found is None else links.union(found), "links")
     labels = components(links)
     classed = texts.join(labels, texts["id"] == labels["node"], "left").select("key1", "key2", "copies", F.coalesce("label", "id").alias("class_id"))
