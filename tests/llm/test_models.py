@@ -402,6 +402,21 @@ def test_pairs_are_learned(spark):
     assert model.score(hasher("you dolt")) < 0.5 and model.score(hasher("the blues")) < 0.5 < model.score(hasher("blues dolt"))
 
 
+def test_a_term_of_a_toxic_pair_is_kept():
+    """A group mention that tells little by itself is learned as half of a pair."""
+    rng = np.random.default_rng(1)
+    rows, labels = [], []
+    for _ in range(8000):
+        group, insult, other = (rng.random(3) < (0.2, 0.05, 0.11)).tolist()
+        own = [1] * group + [2] * insult + [3] * other + rng.integers(100, 3000, 40).tolist()
+        rows.append(np.array(sorted(set(own)), np.int32))
+        labels.append(float((group and insult) or other))
+    model = toxicity.train(rows, np.array(labels))
+    score = lambda *terms: model.score(np.array(terms, np.int32))
+    assert score(1, 2) > toxicity.THRESHOLD and score(1) < 0.3 and score(2) < 0.3
+    assert len(model.terms) < 20
+
+
 def test_toxicity_edges(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     rows = [(1, None), (2, ""), (None, "x y"), (2, "x" * 100_000)]

@@ -22,9 +22,12 @@ from .common import in_fold, materialize, without_ids
 WORD = re.compile(r"[^\W_]+")
 #: Terms are hashed to so many bits; at most this many labelled rows are learned from, drawn by md5 of the id.
 HASH_BITS, TRAIN_ROWS = 26, 8_000
-#: Terms in fewer documents of the sample are left out, and so are those whose share among toxic
-#: documents is within so many deviations of their share among all: they would only add noise to long texts.
-LEAST_DOCUMENTS, LEAST_DEVIATIONS = 4, 5.0
+#: Terms in fewer documents of the sample are left out, and so are those that tell nothing, alone or in a pair: whose
+#: share among toxic documents is within so many deviations of their share among all, while no pair with another term
+#: is so many deviations above the higher share of its two terms. They would only add noise to long texts.
+LEAST_DOCUMENTS, LEAST_DEVIATIONS, PAIR_DEVIATIONS = 4, 5.0, 8.0
+#: Pairs are counted for so many by so many terms at once.
+PAIR_BLOCK = 1_000
 FACTORS, EPOCHS, BATCH, RATE, DECAY, SEED = 6, 25, 128, 0.15, 1e-4, 7
 #: Scores from here on are toxic.
 THRESHOLD = 0.7
@@ -75,14 +78,48 @@ class FactorizationMachine:
 
 
 def telling_terms(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """The sorted terms whose documents' toxic share departs from the base rate."""
+    """The sorted terms whose documents' toxic share departs from the base rate, or does so together with another term."""
     base = labels.mean()
     terms, df = np.unique(np.concatenate(rows), return_counts=True)
     found, n = np.unique(np.concatenate([r for r, label in zip(rows, labels, strict=True) if label]), return_counts=True)
     toxic = np.zeros(len(terms))
     toxic[np.searchsorted(terms, found)] = n
     deviations = (toxic - df * base) / np.sqrt(df * base * (1 - base))
-    return terms[(df >= LEAST_DOCUMENTS) & (np.abs(deviations) >= LEAST_DEVIATIONS)]
+    telling = (df >= LEAST_DOCUMENTS) & (np.abs(deviations) >= LEAST_DEVIATIONS)
+    # a pair can only be that far above the base rate in so many toxic documents, so its terms are in as many
+    least = max(LEAST_DOCUMENTS, PAIR_DEVIATIONS**2 * base / (1 - base))
+    able = np.flatnonzero((df >= LEAST_DOCUMENTS) & (toxic >= least))
+    telling[able[telling_in_pairs(rows, labels, terms[able], np.maximum(toxic / df, base)[able])]] = True
+    return terms[telling]
+
+
+def telling_in_pairs(rows: list[np.ndarray], labels: np.ndarray, terms: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """Whether each of the sorted terms has a pair whose toxic share is PAIR_DEVIATIONS above the shares of both."""
+    telling = np.zeros(len(terms), bool)
+    at = [np.flatnonzero(np.isin(terms, r, assume_unique=True)) for r in rows]
+    doc, term = np.repeat(np.arange(len(at)), [len(a) for a in at]), np.concatenate(at)
+    order = np.argsort(term, kind="stable")
+    doc, term = doc[order], term[order]
+
+    def block(first: int) -> np.ndarray:
+        low, high = np.searchsorted(term, [first, first + PAIR_BLOCK])
+        dense = np.zeros((len(rows), min(PAIR_BLOCK, len(terms) - first)), np.float32)
+        dense[doc[low:high], term[low:high] - first] = 1
+        return dense
+
+    bad = labels > 0
+    for i in range(0, len(terms), PAIR_BLOCK):
+        one = block(i)
+        for j in range(i, len(terms), PAIR_BLOCK):
+            other = one if i == j else block(j)
+            n, toxic = one.T @ other, one[bad].T @ other[bad]
+            share = np.maximum(shares[i : i + PAIR_BLOCK, None], shares[None, j : j + PAIR_BLOCK])
+            far = toxic - n * share >= PAIR_DEVIATIONS * np.sqrt(n * share * (1 - share))
+            far &= n >= LEAST_DOCUMENTS
+            far &= share < 1
+            telling[i : i + PAIR_BLOCK] |= far.any(axis=1)
+            telling[j : j + PAIR_BLOCK] |= far.any(axis=0)
+    return telling
 
 
 def train(rows: list[np.ndarray], labels: np.ndarray) -> FactorizationMachine:
