@@ -5,10 +5,11 @@ from __future__ import annotations
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tideglass.llm import chat, decontaminate, exact_chunks, host_reputation, mixing
+from tideglass.llm import chat, decontaminate, exact_chunks, host_reputation, mixing, order_minhash, toxicity
 from tideglass.llm.common import ascii_lower, join_groups, materialize, remove_scratch, without_ids, word_count
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -95,6 +96,27 @@ def test_exact_dedup_edges(spark):
     assert sorted(r["doc_id"] for r in exact_chunks.keep_one_of_each(df.filter("doc_id < 5")).collect()) == [2]
 
 
+def test_stages_judge_rows_without_or_with_repeated_ids(spark, tmp_path):
+    rng = random.Random(14)
+    text = " ".join(f"w{rng.randrange(5000)}" for _ in range(60))
+    other = " ".join(f"w{rng.randrange(5000)}" for _ in range(60))
+    rows = [(None, text, "s"), (None, text, "s"), (7, other, "s"), (7, other, "s"), (7, other + " more", "s"), (None, other + " on", "s"), (8, "unlike", "s")]
+    documents(spark, rows).write.parquet(str(tmp_path / "d"))
+    for docs in (spark.read.parquet(str(tmp_path / "d")), documents(spark, rows)):
+        texts = lambda df: sorted(r["text"] for r in df.collect())
+        assert texts(exact_chunks.keep_one_of_each(docs)) == sorted({t for _, t, _ in rows})
+        assert texts(order_minhash.keep_one_of_each(docs)) == sorted([text, other + " on", "unlike"])
+        bench = spark.createDataFrame([(1, text)], "item_id long, text string")
+        assert text not in texts(decontaminate.decontaminate(docs, bench))
+        assert decontaminate.decontaminate(docs, bench).count() == 5
+    model = toxicity.FactorizationMachine(-5.0, *(lambda t: (t, [10.0] * len(t), [[0.0]] * len(t)))(toxicity.TermHasher()("unlike")))
+    model.weights, model.vectors = np.array(model.weights), np.array(model.vectors)
+    rows = [(None, "unlike", "s"), (7, "unlike", "s"), (7, "fine", "s"), (None, "fine", "s")]
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(toxicity, "fit", lambda docs, labels: model)
+        assert [r["text"] for r in toxicity.drop_toxic(documents(spark, rows), None).collect()] == ["fine"] * 2
+
+
 def fixed_mix(rows, limit=3):
     """Targets by the stated rounds: cap, reshare, repeat."""
     sizes: dict = {}

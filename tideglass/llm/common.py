@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,6 +114,27 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     return in_hot.unionByName(rest.join(cool, on(rest, cool), how).drop(*drop))
 
 
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """docs with __row, a 64-bit number of each row that is the same whenever they are read.
+
+    A table read from files is numbered by file and place in it; any other
+    frame is written once with its numbers.
+    """
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        try:
+            keyed = docs.withColumn("__row", F.xxhash64("_metadata.file_path", "_metadata.row_index"))
+            keyed.schema  # noqa: B018
+            return keyed
+        except AnalysisException:
+            pass
+    return materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "keyed")
+
+
+def without_rows(keyed: DataFrame, rows: DataFrame) -> DataFrame:
+    """with_row_key()'s frame less the rows whose __row is in rows (materialised, one column), and less that column."""
+    return without_ids(keyed, rows, "__row").drop("__row")
+
+
 def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """docs less the rows whose id is in ids (materialised, one column); null ids stay.
 

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialize, without_ids
+from .common import BROADCAST_ROWS, materialize, with_row_key, without_rows
 
 #: 1: the token counts, 0: it is ignored. Five tokens each.
 MASKS = ("11111", "1101011", "101100101")
@@ -83,5 +83,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, masks: Sequence[str] =
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs less the documents that overlap a benchmark item; a null doc_id stays."""
-    return without_ids(docs, materialize(find_overlaps(docs, benchmark).select("doc_id").distinct(), "contaminated"))
+    """docs less the rows that overlap a benchmark item."""
+    keyed = with_row_key(docs)
+    found = find_overlaps(keyed.withColumn("doc_id", F.col("__row")), benchmark)
+    return without_rows(keyed, materialize(found.select("doc_id").distinct(), "contaminated"))

@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, join_groups, materialize, without_ids
+from .common import ascii_lower, join_groups, materialize, with_row_key, without_rows
 
 #: A chunk ends at the first sentence or line end past 1,024 characters, or at 8,192.
 CHUNK_PATTERN = r"(?s).{1024,8191}?[.!?\n]|.{1,8192}"
@@ -84,11 +84,13 @@ def dedup_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """docs less exact copies of a document of larger doc_id; rows that repeat a doc_id go together."""
-    found = dedup_exact(docs)
-    kept = found.filter("kept").select("doc_id")
-    dropped = found.filter(~F.col("kept")).select("doc_id").distinct().join(kept, "doc_id", "left_anti")
-    return without_ids(docs, materialize(dropped, "copies"))
+    """Of equal texts the row of largest doc_id; a null id is less than any other, and of equal ids one row stays."""
+    keyed = with_row_key(docs)
+    found = recipes(keyed.withColumn("__place", F.struct("doc_id", "__row")), id_col="__place")
+    best = found.groupBy("recipe").agg(F.max("doc_id").alias("best"), F.count(F.lit(1)).alias("group_size"))
+    placed = join_groups(found, best.filter("group_size > 1"), ["recipe"], "group_size", found.count(), how="inner")
+    dropped = placed.filter("doc_id.__row <> best.__row").select("doc_id.__row")
+    return without_rows(keyed, materialize(dropped, "copies"))
 
 
 OP8_SQL = r"""

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, join_groups, materialize, rows_per_batch, without_ids
+from .common import BROADCAST_ROWS, join_groups, materialize, rows_per_batch, with_row_key, without_rows
 from .words import PIECE, hashes_by_text, mixed
 
 KMER, DRAWN, SKETCHES, SIMILARITY = 5, 2, 48, 0.8
@@ -454,5 +454,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, rounds: int
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """docs less near-duplicates of a document of smaller doc_id."""
-    return without_ids(docs, materialize(near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct(), "near-copies"))
+    """Of each class of near-duplicates the row of least doc_id; a null id is less than any other, and of equal ids one row stays."""
+    keyed = with_row_key(docs)
+    found = near_duplicates(keyed.withColumn("doc_id", F.col("__row"))).filter("class_size > 1").select(F.col("doc_id").alias("row"), "class_id", "class_size")
+    found = materialize(found.join(keyed.select("__row", "doc_id"), F.col("row") == F.col("__row")).select("row", "doc_id", "class_id", "class_size"), "near")
+    best = found.groupBy("class_id", "class_size").agg(F.min(F.struct("doc_id", "row")).alias("best"))
+    placed = join_groups(found.drop("class_size"), best, ["class_id"], "class_size", found.count(), how="inner")
+    return without_rows(keyed, materialize(placed.filter("row <> best.row").select("row"), "near-copies"))

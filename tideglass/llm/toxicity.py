@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_fold, materialize, without_ids
+from .common import in_fold, materialize, with_row_key, without_rows
 
 WORD = re.compile(r"[^\W_]+")
 #: Terms are hashed to so many bits; at most this many labelled rows are learned from, drawn by md5 of the id.
@@ -210,6 +210,7 @@ def score_toxicity(docs: DataFrame, model: FactorizationMachine, threshold: floa
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs less those predicted toxic by a model learned from the labels; a null doc_id stays."""
-    scored = score_toxicity(docs, fit(docs, labels))
-    return without_ids(docs, materialize(scored.filter("predicted = 1").select("doc_id").distinct(), "toxic"))
+    """docs less the rows predicted toxic by a model learned from the labels."""
+    keyed = with_row_key(docs)
+    scored = score_toxicity(keyed.withColumn("doc_id", F.col("__row")), fit(docs, labels))
+    return without_rows(keyed, materialize(scored.filter("predicted = 1").select("doc_id"), "toxic"))
