@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
@@ -19,7 +19,8 @@ BROADCAST_ROWS = 500_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _own_scratch: dict[str, str] = {}
-_written: list[str] = []
+_written: list[tuple[str, str]] = []
+_owner = [""]
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -34,7 +35,9 @@ def scratch_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _own_scratch.setdefault(context.applicationId, tempfile.mkdtemp(prefix="tideglass-"))
+    if context.applicationId not in _own_scratch:
+        _own_scratch[context.applicationId] = tempfile.mkdtemp(prefix="tideglass-")
+    return _own_scratch[context.applicationId]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -45,16 +48,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.append(path)
+    _written.append((_owner[-1], path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove_scratch(spark: SparkSession) -> int:
-    """Deletes the tables that materialize() wrote in this process; call it when results are stored. Returns how many."""
+@contextmanager
+def scratch_of(owner: str) -> Iterator[None]:
+    """What materialize() writes inside belongs to the owner, who can have it removed before the rest."""
+    _owner.append(owner)
+    try:
+        yield
+    finally:
+        _owner.pop()
+
+
+def remove_scratch(spark: SparkSession, owner: str | None = None) -> int:
+    """Deletes the tables (or an owner's) that materialize() wrote in this process; call it when results are stored. Returns how many."""
     jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), 0
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    for one in [w for w in _written if owner is None or w[0] == owner]:
+        _written.remove(one)
+        path = jvm.org.apache.hadoop.fs.Path(one[1])
         n += path.getFileSystem(conf).delete(path, True)
     return n
 
@@ -114,20 +128,21 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     return in_hot.unionByName(rest.join(cool, on(rest, cool), how).drop(*drop))
 
 
-def with_row_key(docs: DataFrame) -> DataFrame:
-    """docs with __row, a 64-bit number of each row that is the same whenever they are read.
+def with_row_key(docs: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """docs (or some of its columns) with __row, a 64-bit number of each row that is the same whenever they are read.
 
     A table read from files is numbered by file and place in it; any other
     frame is written once with its numbers.
     """
+    columns = [c for c in columns or docs.columns if c != "__row"]
     if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
         try:
-            keyed = docs.withColumn("__row", F.xxhash64("_metadata.file_path", "_metadata.row_index"))
+            keyed = docs.withColumn("__row", F.xxhash64("_metadata.file_path", "_metadata.row_index")).select(*columns, "__row")
             keyed.schema  # noqa: B018
             return keyed
         except AnalysisException:
             pass
-    return materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "keyed")
+    return materialize(docs.select(*columns, F.monotonically_increasing_id().alias("__row")), "keyed")
 
 
 def without_rows(keyed: DataFrame, rows: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_groups, materialize, word_count
+from .common import BROADCAST_ROWS, join_groups, materialize, with_row_key, word_count
 
 #: Rows that a bucket of a running sum holds, on average.
 BUCKET_ROWS = 20_000
@@ -64,19 +64,19 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), limit: in
     empty string. Equal rows stand at one place each; if the cut meets them
     they are taken alike. Documents without words cost nothing and are taken
     when their turn is within the budget. Empty in, empty out. The results'
-    names win over carried ones.
+    names win over carried ones. Only ids and sizes go through the sorts;
+    carried columns are joined to the finished mix by row.
     """
     own = {"doc_id", "source", "size", "source_size", "target", "finish", "copies", "taken"}
     carried = [c for c in carry if c not in own]
+    keyed = with_row_key(docs, ["doc_id", "source", "text", *[c for c in carried if c != "text"]]) if carried else docs.withColumn("__row", F.lit(None))
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    base = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *[F.col(c).alias(f"__c_{c}") for c in carried])
-    base = base.withColumn("order_key", key)
-    narrow = materialize(base.select("doc_id", "source", "size", "order_key"), "mix-sizes")
+    narrow = materialize(keyed.select("__row", "doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("order_key")), "mix-sizes")
     n_docs = narrow.count()
     buckets = max(1, -(-n_docs // BUCKET_ROWS))
     # 15 hex digits are 60 bits
     bucket = F.floor(F.conv(F.substring("order_key", 1, 15), 16, 10).cast("double") / float(2**60) * buckets).cast("long")
-    narrow, base = narrow.withColumn("bucket", bucket), (base if carried else narrow).withColumn("bucket", bucket)
+    narrow = narrow.withColumn("bucket", bucket)
     sources = materialize(source_targets(narrow, weights, limit, budget), "mix-sources")
     total = sources.agg(F.sum("source_size")).first()[0] or 0 if budget is None else int(budget)
 
@@ -85,7 +85,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), limit: in
     before = before.withColumn("before", F.coalesce(F.sum("bucket_size").over(in_source), F.lit(0))).select(
         F.col("source").alias("__s"), F.col("bucket").alias("__b"), "before"
     )
-    placed = base.join(before, base["source"].eqNullSafe(before["__s"]) & (base["bucket"] == before["__b"]), "left").drop("__s", "__b")
+    placed = narrow.join(before, narrow["source"].eqNullSafe(before["__s"]) & (narrow["bucket"] == before["__b"]), "left").drop("__s", "__b")
     in_bucket = Window.partitionBy("source", "bucket").orderBy("order_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = placed.withColumn("cum", F.col("before") + F.sum("size").over(in_bucket)).drop("before", "bucket")
     placed = materialize(join_groups(placed, sources, ["source"], "n_docs", n_docs), "mix-placed")
@@ -110,10 +110,13 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), limit: in
             here = F.struct(_finish(e), F.col("source_rank"), F.col("order_key"), F.lit(e)) <= place if place is not None else F.lit(False)
             taken[e] = F.when(slot < cut["slot"], 1).when(slot == cut["slot"], here.cast("int")).otherwise(0)
     copies = sum(taken[1:], taken[0]).cast("long")
-    return placed.select(
-        "doc_id", "source", "size", "source_size", "target", _finish(0).alias("finish"), copies.alias("copies"), (copies * F.col("size")).alias("taken"),
-        *[F.col(f"__c_{c}").alias(c) for c in carried],
-    )
+    found = placed.select("__row", "doc_id", "source", "size", "source_size", "target", _finish(0).alias("finish"), copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    if not carried:
+        return found.drop("__row")
+    found = found.withColumnRenamed("__row", "__mixed")
+    rest = keyed.select("__row", *carried)
+    joined = rest.join(F.broadcast(found) if n_docs <= BROADCAST_ROWS else found, F.col("__row") == F.col("__mixed"))
+    return joined.select(*[c for c in found.columns if c != "__mixed"], *carried)
 
 
 OP9_SQL = r"""
