@@ -2,17 +2,23 @@
 
 Each stage takes what its predecessor kept, as written and read again, and
 returns the columns of documents; the last adds each document's place in
-the mix.
+the mix and how often the mix takes it. Stages judge rows by their text: a
+null text counts as empty, a null or repeated doc_id is a row like any other,
+extra columns are carried along, and an empty table gives an empty result.
+
+A stage starts by deleting the scratch tables of the one before it, whose
+result has been written by then.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tideglass.llm import decontaminate, exact_chunks, mixing, order_minhash, toxicity
-from tideglass.llm.common import materialize
+from tideglass.llm.common import materialize, remove_scratch, scratch_of
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,17 +42,31 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its virtual finish time and how many copies of it the mix takes (0 to 3)."""
-    return mixing.mix_sources(docs, carry=docs.columns)
+    """The documents that the mix takes, with their virtual finish time and how many copies of each (1 to 3); those beyond the budget go."""
+    return mixing.mix_sources(docs, carry=docs.columns).filter("copies > 0")
+
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def in_turn(number: int, stage: Stage) -> Stage:
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        remove_scratch(spark, f"stage {number - 1}")
+        with scratch_of(f"stage {number}"):
+            return stage(spark, docs, sf_dir)
+
+    return run_stage
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+_IN_ORDER: list[tuple[str, Stage]] = [
     ("toxicity", drop_toxic),
     ("exact dedup", drop_exact_copies),
     ("near dedup", drop_near_copies),
     ("decontamination", drop_contaminated),
     ("mixing", mix),
 ]
+STAGES: list[tuple[str, Stage]] = [(name, in_turn(number, stage)) for number, (name, stage) in enumerate(_IN_ORDER, 1)]
 
 #: Learned scores, sketches and alignments have no SQL form.
 ORACLE_SQL: str | None = None
@@ -58,5 +78,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for number, (_, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES):
-            docs = materialize(docs, f"stage-{number}")
+            with scratch_of(f"kept {number}"):
+                docs = materialize(docs, f"stage-{number}")
+            remove_scratch(spark, f"kept {number - 1}")
     return docs
