@@ -406,6 +406,49 @@ def toxic_corpus(rng, n):
     return rows, labels
 
 
+def test_gradients_against_differences():
+    """Scores and gradients equal the plain definition: all pairs of terms, and differences of the loss."""
+    rng = np.random.default_rng(8)
+    w, v, bias = rng.normal(0, 0.5, 12), rng.normal(0, 0.5, (12, 3)), 0.3
+    rows = [np.sort(rng.choice(12, k, replace=False)) for k in (0, 1, 4, 7, 12)]
+    labels = np.array([0.0, 1, 1, 0, 1])
+
+    def loss(bias, w, v):
+        total = 0.0
+        for r, y in zip(rows, labels, strict=True):
+            z = bias + sum(w[i] for i in r) + sum(v[i] @ v[j] for i in r for j in r if i < j)
+            p = 1 / (1 + math.exp(-z))
+            assert abs(p - toxicity.FactorizationMachine(bias, np.arange(12), w, v).score(r)) < 1e-12
+            total -= (math.log(p) if y else math.log(1 - p)) / len(rows)
+        return total
+
+    of_bias, held, of_w, of_v = toxicity.gradients(bias, w, v, rows, labels)
+    assert held.tolist() == list(range(12))
+    e = 1e-6
+    assert abs((loss(bias + e, w, v) - loss(bias - e, w, v)) / (2 * e) - of_bias) < 1e-6
+    for i in range(12):
+        d = np.zeros(12)
+        d[i] = e
+        assert abs((loss(bias, w + d, v) - loss(bias, w - d, v)) / (2 * e) - of_w[i]) < 1e-6
+        for f in range(3):
+            d = np.zeros((12, 3))
+            d[i, f] = e
+            assert abs((loss(bias, w, v + d) - loss(bias, w, v - d)) / (2 * e) - of_v[i, f]) < 1e-6
+
+
+def test_pairs_that_tell_nothing_apart_are_learned():
+    """Toxic iff exactly one of two words occurs: neither word departs from the base rate alone."""
+    rng, hasher = random.Random(6), toxicity.TermHasher()
+    rows, labels = [], []
+    for _ in range(6000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        rows.append(hasher(prose(rng, rng.randrange(10, 60)) + " dolt" * a + " reds" * b))
+        labels.append(float(a != b))
+    machine = toxicity.train(rows[:4000], np.array(labels[:4000]))
+    right = sum((machine.score(r) >= 0.5) == (y > 0) for r, y in zip(rows[4000:], labels[4000:], strict=True))
+    assert right >= 0.95 * 2000
+
+
 def test_pairs_are_learned(spark):
     rows, labels = toxic_corpus(random.Random(5), 1500)
     docs = documents(spark, rows).withColumns({"score": F.lit(1), "toxic": F.lit(1)})

@@ -22,13 +22,13 @@ from .common import in_fold, materialize, with_row_key, without_rows
 WORD = re.compile(r"[^\W_]+")
 #: Terms are hashed to so many bits; at most this many labelled rows are learned from, drawn by md5 of the id.
 HASH_BITS, TRAIN_ROWS = 26, 8_000
-#: Terms in fewer documents of the sample are left out, and so are those that tell nothing, alone or in a pair: whose
-#: share among toxic documents is within so many deviations of their share among all, while no pair with another term
-#: is so many deviations above the higher share of its two terms. They would only add noise to long texts.
-LEAST_DOCUMENTS, LEAST_DEVIATIONS, PAIR_DEVIATIONS = 4, 5.0, 8.0
-#: Pairs are counted for so many by so many terms at once.
-PAIR_BLOCK = 1_000
-FACTORS, EPOCHS, BATCH, RATE, DECAY, SEED = 6, 25, 128, 0.15, 1e-4, 7
+#: Terms in fewer documents of the sample are left out.
+LEAST_DOCUMENTS = 8
+FACTORS, RATE, DECAY, SEED = 6, 0.15, 1e-4, 7
+#: Epochs and rows of a batch of the first pass, over all terms, and of the second, over those that it found to tell.
+FIRST, SECOND = (15, 256), (25, 128)
+#: The first pass draws weights, and whole vectors, to zero by these; terms go on to the second with a weight or a vector's length of these.
+DRAW_WEIGHTS, DRAW_VECTORS, LEAST_WEIGHT, LEAST_LENGTH = 0.006, 0.001, 0.3, 0.5
 #: Scores from here on are toxic.
 THRESHOLD = 0.7
 #: A worker remembers the hashes of so many words.
@@ -77,100 +77,88 @@ class FactorizationMachine:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def telling_terms(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """The sorted terms whose documents' toxic share departs from the base rate, or does so together with another term."""
-    base = labels.mean()
-    terms, df = np.unique(np.concatenate(rows), return_counts=True)
-    found, n = np.unique(np.concatenate([r for r, label in zip(rows, labels, strict=True) if label]), return_counts=True)
-    toxic = np.zeros(len(terms))
-    toxic[np.searchsorted(terms, found)] = n
-    deviations = (toxic - df * base) / np.sqrt(df * base * (1 - base))
-    telling = (df >= LEAST_DOCUMENTS) & (np.abs(deviations) >= LEAST_DEVIATIONS)
-    # a pair can only be that far above the base rate in so many toxic documents, so its terms are in as many
-    least = max(LEAST_DOCUMENTS, PAIR_DEVIATIONS**2 * base / (1 - base))
-    able = np.flatnonzero((df >= LEAST_DOCUMENTS) & (toxic >= least))
-    telling[able[telling_in_pairs(rows, labels, terms[able], np.maximum(toxic / df, base)[able])]] = True
-    return terms[telling]
-
-
-def telling_in_pairs(rows: list[np.ndarray], labels: np.ndarray, terms: np.ndarray, shares: np.ndarray) -> np.ndarray:
-    """Whether each of the sorted terms has a pair whose toxic share is PAIR_DEVIATIONS above the shares of both."""
-    telling = np.zeros(len(terms), bool)
-    at = [np.flatnonzero(np.isin(terms, r, assume_unique=True)) for r in rows]
-    doc, term = np.repeat(np.arange(len(at)), [len(a) for a in at]), np.concatenate(at)
-    order = np.argsort(term, kind="stable")
-    doc, term = doc[order], term[order]
-
-    def block(first: int) -> np.ndarray:
-        low, high = np.searchsorted(term, [first, first + PAIR_BLOCK])
-        dense = np.zeros((len(rows), min(PAIR_BLOCK, len(terms) - first)), np.float32)
-        dense[doc[low:high], term[low:high] - first] = 1
-        return dense
-
-    bad = labels > 0
-    for i in range(0, len(terms), PAIR_BLOCK):
-        one = block(i)
-        for j in range(i, len(terms), PAIR_BLOCK):
-            other = one if i == j else block(j)
-            n, toxic = one.T @ other, one[bad].T @ other[bad]
-            share = np.maximum(shares[i : i + PAIR_BLOCK, None], shares[None, j : j + PAIR_BLOCK])
-            far = toxic - n * share >= PAIR_DEVIATIONS * np.sqrt(n * share * (1 - share))
-            far &= n >= LEAST_DOCUMENTS
-            far &= share < 1
-            telling[i : i + PAIR_BLOCK] |= far.any(axis=1)
-            telling[j : j + PAIR_BLOCK] |= far.any(axis=0)
-    return telling
+def gradients(bias: float, w: np.ndarray, v: np.ndarray, rows: list[np.ndarray], labels: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the mean logistic loss over rows of term numbers: the bias's, the terms they hold, and those terms' weights' and vectors'."""
+    doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    ids = np.concatenate(rows)
+    own = v[ids]
+    sums = np.stack([np.bincount(doc, own[:, f], len(rows)) for f in range(v.shape[1])], axis=1).astype(v.dtype)
+    z = bias + np.bincount(doc, w[ids], len(rows)) + 0.5 * ((sums**2).sum(axis=1) - np.bincount(doc, (own**2).sum(axis=1), len(rows)))
+    slope = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) / len(rows)
+    held = np.flatnonzero(np.bincount(ids, minlength=len(w)))
+    by_entry = slope[doc].astype(v.dtype)
+    pulls = by_entry[:, None] * (sums[doc] - own)
+    of_vectors = np.stack([np.bincount(ids, pulls[:, f], len(w))[held] for f in range(v.shape[1])], axis=1)
+    return float(slope.sum()), held, np.bincount(ids, by_entry, len(w))[held], of_vectors
+
+
+def descend(rows: list[np.ndarray], labels: np.ndarray, n_terms: int, epochs: int, batch: int, draw_weights: float = 0.0, draw_vectors: float = 0.0) -> tuple[float, np.ndarray, np.ndarray]:
+    """Bias, weights and vectors by adaptive steps in a fixed order; after a step, weights and vectors are drawn to zero by an amount."""
+    rng = np.random.default_rng(SEED)
+    base = (labels.sum() + 1) / (len(labels) + 2)
+    bias = float(np.log(base / (1 - base)))
+    w, v = np.zeros(n_terms, np.float32), rng.normal(0, 0.02, (n_terms, FACTORS)).astype(np.float32)
+    seen_w, seen_v, seen = np.full(n_terms, 1e-2, np.float32), np.full((n_terms, FACTORS), 1e-2, np.float32), 1e-2
+    for _ in range(epochs):
+        order = rng.permutation(len(rows))
+        for k in range(0, len(order), batch):
+            chosen = order[k : k + batch]
+            of_bias, held, of_weights, of_vectors = gradients(bias, w, v, [rows[i] for i in chosen], labels[chosen])
+            of_weights, of_vectors = of_weights + DECAY * w[held], of_vectors + DECAY * v[held]
+            seen_w[held] += of_weights**2
+            seen_v[held] += of_vectors**2
+            seen += of_bias**2
+            bias -= RATE * of_bias / np.sqrt(seen)
+            step = RATE / np.sqrt(seen_w[held])
+            weights = w[held] - step * of_weights
+            w[held] = np.sign(weights) * np.maximum(np.abs(weights) - step * draw_weights, 0)
+            step = RATE / np.sqrt(seen_v[held])
+            vectors = v[held] - step * of_vectors
+            if draw_vectors:
+                length = np.maximum(np.sqrt((vectors**2).sum(axis=1, keepdims=True)), 1e-12)
+                vectors *= np.maximum(0, 1 - step.mean(axis=1, keepdims=True) * draw_vectors / length)
+            v[held] = vectors
+    return float(bias), w, v
+
+
+def numbered(rows: list[np.ndarray], terms: np.ndarray) -> list[np.ndarray]:
+    """The places of each row's hashes among the sorted terms; others are left out."""
+    found = []
+    for r in rows:
+        at = np.minimum(np.searchsorted(terms, r), len(terms) - 1)
+        found.append(at[terms[at] == r].astype(np.int32))
+    return found
 
 
 def train(rows: list[np.ndarray], labels: np.ndarray) -> FactorizationMachine:
-    """Logistic loss, adaptive steps, in a fixed order; without rows of both labels a constant at the base rate."""
+    """A machine learned twice: over all frequent terms, to see which tell alone or in pairs, then over those.
+
+    In the first pass all terms learn weights and vectors together, so a
+    term that tells nothing alone is found by what it does beside others;
+    drawn to zero, terms without use stay small. They are left out of the
+    second, as thousands of them would only add noise to long texts. Without
+    rows of both labels the machine is a constant at the base rate.
+    """
     base = (labels.sum() + 1) / (len(labels) + 2) if len(labels) else 0.0
     nothing = FactorizationMachine(float(np.log(base / (1 - base))) if base else -30.0, np.zeros(0, np.int32), np.zeros(0), np.zeros((0, FACTORS)))
     if not len(labels) or labels.min() == labels.max():
         return nothing
-    terms = telling_terms(rows, labels)
+    terms, n = np.unique(np.concatenate(rows), return_counts=True)
+    terms = terms[n >= LEAST_DOCUMENTS]
+    if len(terms):
+        _, w, v = descend(numbered(rows, terms), labels, len(terms), *FIRST, DRAW_WEIGHTS, DRAW_VECTORS)
+        terms = terms[(np.abs(w) >= LEAST_WEIGHT) | (np.sqrt((v**2).sum(axis=1)) >= LEAST_LENGTH)]
     if not len(terms):
         return nothing
-    mapped = []
-    for r in rows:
-        at = np.minimum(np.searchsorted(terms, r), len(terms) - 1)
-        mapped.append(at[terms[at] == r])
-    rng = np.random.default_rng(SEED)
-    n, bias = len(terms), nothing.bias
-    w, v = np.zeros(n), rng.normal(0, 0.02, (n, FACTORS))
-    gw, gv, gb = np.full(n, 1e-2), np.full((n, FACTORS), 1e-2), 1e-2
-    for _ in range(EPOCHS):
-        order = rng.permutation(len(mapped))
-        for k in range(0, len(order), BATCH):
-            chosen = order[k : k + BATCH]
-            sizes = np.array([len(mapped[i]) for i in chosen])
-            ids = np.concatenate([mapped[i] for i in chosen])
-            doc = np.repeat(np.arange(len(chosen)), sizes)
-            vi = v[ids]
-            sums = np.zeros((len(chosen), FACTORS))
-            np.add.at(sums, doc, vi)
-            squares = np.bincount(doc, (vi**2).sum(axis=1), len(chosen))
-            z = bias + np.bincount(doc, w[ids], len(chosen)) + 0.5 * ((sums**2).sum(axis=1) - squares)
-            slope = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[chosen]
-            touched, local = np.unique(ids, return_inverse=True)
-            grad = np.bincount(local, slope[doc], len(touched)) / len(chosen) + DECAY * w[touched]
-            gw[touched] += grad**2
-            w[touched] -= RATE * grad / np.sqrt(gw[touched])
-            pulls = slope[doc, None] * (sums[doc] - vi)
-            gradv = np.stack([np.bincount(local, pulls[:, f], len(touched)) for f in range(FACTORS)], axis=1) / len(chosen) + DECAY * v[touched]
-            gv[touched] += gradv**2
-            v[touched] -= RATE * gradv / np.sqrt(gv[touched])
-            step = slope.mean()
-            gb += step**2
-            bias -= RATE * step / np.sqrt(gb)
-    return FactorizationMachine(float(bias), terms, w, v)
+    bias, w, v = descend(numbered(rows, terms), labels, len(terms), *SECOND)
+    return FactorizationMachine(bias, terms, w.astype(float), v.astype(float))
 
 
 def sample_of_labels(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[np.ndarray], np.ndarray]:
     """Hashed terms and labels of at most `rows` labelled documents outside the held-out fold.
 
     Documents with several labels count as toxic if any label says so; of
-    repeated ids every row counts.
+    rows that repeat an id one is taken, the same on every run.
     """
     drawn = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     drawn = drawn.filter(~in_fold(F.col("doc_id"), 3, 1)).orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(rows)
@@ -181,7 +169,7 @@ def sample_of_labels(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS)
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "terms": [hasher(t).tobytes() for t in batch["text"]]})
 
-    found = sorted(chosen.mapInPandas(hashed, "doc_id long, toxic int, terms binary").limit(2 * rows).collect())
+    found = chosen.mapInPandas(hashed, "doc_id long, toxic int, terms binary").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("terms").alias("terms")).orderBy("doc_id").collect()
     return [np.frombuffer(r["terms"], np.int32) for r in found], np.array([float(r["toxic"] > 0) for r in found])
 
 
