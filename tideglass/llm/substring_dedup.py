@@ -8,9 +8,10 @@ the maximal repeats, which are removed.
 
 As a window and its copies have the same anchor at the same place, no
 repeat is missed, and windows led by an anchor of one document only need no
-further look. Documents are dealt in blocks of a few thousand; a block
-tells each anchor and window once, with its smallest doc_id, so a passage
-that a third of the corpus holds is one entry per block.
+further look. Rows are dealt in blocks of a few MB, whatever their ids; a block tells each
+anchor and window once, with its smallest doc_id, so a passage that a third
+of the corpus holds is one entry per block. What a block tells goes to the
+parts of the key space that it touches: never more rows than keys.
 """
 
 from __future__ import annotations
@@ -24,12 +25,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import with_row_key
 from .words import mixed, word_hashes
 
 #: Words of a window (the least repeat that is removed), and of an anchor's k-mer.
 WINDOW, KMER = 13, 6
-#: Documents in a block, on average.
-BLOCK_DOCS = 1_000
+#: Bytes of text in a block, on average.
+BLOCK_BYTES = 3_000_000
 NO_ID = -(2**63)
 
 
@@ -94,12 +96,9 @@ def unpacked(blob: bytes, n_arrays: int) -> list[np.ndarray]:
 
 def dealt(block: int, parts: int, keys: np.ndarray, *values: np.ndarray) -> Iterable[tuple[int, int, bytes]]:
     """(part, block, blob) for each part of the key space that the sorted keys touch."""
-    part = (keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
-    ends = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
-    for p in range(parts):
-        a, b = ends[p], ends[p + 1]
-        if b > a:
-            yield p, block, packed(keys[a:b], *(v[a:b] for v in values))
+    touched, starts = np.unique((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), return_index=True)
+    for p, a, b in zip(touched.tolist(), starts, [*starts[1:], len(keys)], strict=True):
+        yield p, block, packed(keys[a:b], *(v[a:b] for v in values))
 
 
 DEALT = "part int, block int, blob binary"
@@ -122,10 +121,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     if not 0 < kmer <= window:
         raise ValueError("an anchor must fit in a window")
-    n_blocks = blocks or max(1, -(-docs.count() // BLOCK_DOCS))
+    keyed = with_row_key(docs, [id_col, text_col])
+    n_blocks = blocks or max(1, -(-(keyed.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // BLOCK_BYTES))
     parts = n_blocks
     ids = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    source = docs.select(F.pmod(F.xxhash64(ids), F.lit(n_blocks)).cast("int").alias("block"), F.col(id_col).cast("long").alias("doc_id"), ids.alias("id"), F.col(text_col).alias("text"))
+    source = keyed.select(F.pmod(F.xxhash64("__row"), F.lit(n_blocks)).cast("int").alias("block"), F.col(id_col).cast("long").alias("doc_id"), ids.alias("id"), F.col(text_col).alias("text"))
     by_block = source.groupBy("block")
 
     def told(pdf: pd.DataFrame, keys: np.ndarray, doc: np.ndarray) -> pd.DataFrame:
