@@ -366,3 +366,32 @@ def test_empty_tables(spark):
         assert f(df).collect() == []
     assert integrity.counters(integrity.flags(df)).first()["processed"] == 0
     assert incidents.incidents(df).collect() == []
+
+
+def test_prices_that_cannot_be_summed_are_left_out(spark):
+    """NaN, infinite and huge prices stop nothing and are in no sum, in neither price nor size."""
+    rows = [(1, "A", 10.0, 1.0), (2, "A", float("nan"), 1.0), (3, "A", float("inf"), 1.0), (4, "A", 2e10, 1.0), (5, "A", 20.0, 1.0), (6, "A", 5.0, float("inf")), (7, "B", 3e10, 2.0)]
+    df = spark.createDataFrame(rows, "arrival_seq long, product_id string, price double, last_size double")
+    df = df.withColumns({"ingest_ts_ms": F.lit(5).cast("long"), "recv_ts_ms": F.lit(6).cast("long")})
+    assert [(r["product_id"], r["vwap"], r["window_rows"]) for r in analytics.vwap_snapshot(df).collect()] == [("A", 15.0, 2)]
+    assert [(r["product_id"], r["volume"], r["trades"]) for r in analytics.volume(df).collect()] == [("A", 30.0, 2)]
+    assert all(math.isfinite(r["log_return"]) for r in analytics.log_returns(df).collect())
+
+
+def test_synthetic_is_the_same_on_any_number_of_tasks(spark):
+    a = synthetic_ticks(spark, 500, 3)
+    assert sorted(a.repartition(7).collect()) == sorted(synthetic_ticks(spark, 500, 3).collect())
+    prices = [r["price"] for r in synthetic_ticks(spark, 3000, 5).filter("product_id = 'BTC-USD'").collect()]
+    assert 900 < len(prices) < 1100 and abs(sum(prices) / len(prices) - 95_000) < 20
+
+
+def test_counters_and_series_of_marked_ticks(spark):
+    """Drift and incidents count where the frame carries them, in totals and as series."""
+    rows = [(i, i * 100, i % 5 == 0, i == 20) for i in range(1, 41)]
+    df = spark.createDataFrame(rows, "arrival_seq long, recv_ts_ms long, is_drift boolean, is_incident boolean")
+    df = df.withColumns({"ingest_ts_ms": F.col("recv_ts_ms"), "is_duplicate": F.lit(False), "is_out_of_order": F.lit(False), "is_gap": F.lit(True)})
+    one = integrity.counters(df).first()
+    assert (one["drift"], one["incidents"], one["gaps"], one["spikes"]) == (8, 1, 40, 0)
+    got = {(r["name"], r["label"]): r["value"] for r in metrics.latest(metrics.snapshots(df, 1000)).collect()}
+    assert got["anomalies_total", "schema_drift"] == 8 and got["incidents_total", ""] == 1 and got["anomalies_total", "sequence_gap"] == 40
+    assert got["events_per_second", ""] == 1.0  # the last step holds the one event at 4000 ms

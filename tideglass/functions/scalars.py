@@ -50,8 +50,8 @@ def pipe_ms(recv: Column, asof: Column) -> Column:
 
 
 def money(value: Column) -> Column:
-    """Exact decimal, so sums do not depend on their order."""
-    return value.cast("decimal(18,8)")
+    """Exact decimal, so sums do not depend on their order; null for what is no number of at most ten digits before the point."""
+    return value.try_cast("decimal(18,8)")
 
 
 def ratio(part: Column, whole: Column) -> Column:

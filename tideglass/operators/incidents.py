@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.config import DEFAULTS, EngineConfig
+from ..functions.scratch import stored
 from .integrity import flags
 from .latency import p99_at, spikes
 
 
-def triggers(ticks: DataFrame, config: EngineConfig = DEFAULTS) -> DataFrame:
-    """(seq, recv_ms, kind): events that ask for a capture, by priority spike, duplicate, gap."""
-    fired = spikes(ticks, config).filter("is_spike").select(F.col("arrival_seq").alias("__seq"))
+def triggers(ticks: DataFrame, config: EngineConfig = DEFAULTS, spiked: DataFrame | None = None) -> DataFrame:
+    """(seq, recv_ms, kind): events that ask for a capture, by priority spike, duplicate, gap; spiked: spikes() of the ticks, if at hand."""
+    fired = (spikes(ticks, config) if spiked is None else spiked).filter("is_spike").select(F.col("arrival_seq").alias("__seq"))
     flagged = flags(ticks)
     marked = flagged.join(fired, flagged["arrival_seq"] == fired["__seq"], "left")
     kind = F.when(F.col("__seq").isNotNull(), "latency_spike").when(F.col("is_duplicate"), "duplicate").when(F.col("is_gap"), "gap")
@@ -45,7 +46,8 @@ def resolve(candidates: DataFrame, last_seq: int | None, config: EngineConfig =
                 end, last = hi, recv
             yield pd.DataFrame(rows, columns=["seq", "recv_ms", "kind", "lo", "hi"])
 
-    ordered = candidates.select("seq", "recv_ms", "kind").coalesce(1).sortWithinPartitions("seq")
+    # a shuffle, so that only the fold itself is one task
+    ordered = candidates.select("seq", "recv_ms", "kind").repartition(1).sortWithinPartitions("seq")
     found = ordered.mapInPandas(fold, "seq long, recv_ms long, kind string, lo long, hi long")
     if last_seq is None:
         return found
@@ -53,10 +55,13 @@ def resolve(candidates: DataFrame, last_seq: int | None, config: EngineConfig =
 
 
 def incidents(ticks: DataFrame, config: EngineConfig = DEFAULTS) -> DataFrame:
-    """resolve() on a frame of ticks, with reason and a name that is the same on every run."""
+    """resolve() on a frame of ticks, with reason and a name that is the same on every run.
+
+    The samples and the incidents found are written once, as several steps read them.
+    """
     last_seq = ticks.agg(F.max("arrival_seq")).first()[0]
-    found = resolve(triggers(ticks, config), last_seq, config)
-    samples = spikes(ticks, config).select("arrival_seq", "sample", "latency_ms")
+    samples = stored(spikes(ticks, config).select("arrival_seq", "sample", "latency_ms", "is_spike"), "samples")
+    found = stored(resolve(triggers(ticks, config, samples), last_seq, config), "captures")
     asked = found.filter("kind = 'latency_spike'").join(samples, F.col("seq") == F.col("arrival_seq")).select("seq", "sample")
     p99 = p99_at(samples, asked, config)
     reason = F.when(F.col("kind") == "latency_spike", F.format_string("latency_spike_p99=%dms", "p99"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import now_ms, number
+from ..functions.scalars import money, now_ms, number
 
 #: Columns of a validated tick.
 MODEL = ("type", "product_id", "price", "last_size", "time", "trade_id")
@@ -60,13 +60,19 @@ def stamp_receipt(df: DataFrame, raw: str = "raw", at=None) -> DataFrame:
 
 
 # each analysis takes its own rows; the differences in strictness are meant
+def _summable() -> Column:
+    """Whether price and size can be summed exactly: NaN, infinities and numbers of over ten digits can not, and are in no sum."""
+    return money(number(F.col("price"))).isNotNull() & money(number(F.col("last_size"))).isNotNull()
+
+
 def for_vwap(df: DataFrame) -> DataFrame:
-    return df.filter((number(F.col("price")) > 0) & (number(F.col("last_size")) >= 0) & (F.col("ingest_ts_ms") > 0))
+    return df.filter((number(F.col("price")) > 0) & (number(F.col("last_size")) >= 0) & (F.col("ingest_ts_ms") > 0) & _summable())
 
 
 def for_volatility(df: DataFrame) -> DataFrame:
-    return df.filter(number(F.col("price")) > 0)
+    price = number(F.col("price"))
+    return df.filter((price > 0) & (price < float("inf")))
 
 
 def for_volume(df: DataFrame) -> DataFrame:
-    return df.filter((number(F.col("price")) > 0) & (number(F.col("last_size")) > 0))
+    return df.filter((number(F.col("price")) > 0) & (number(F.col("last_size")) > 0) & _summable())

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.config import LATENCY_BUCKETS
+from ..functions.config import ANOMALY_LABELS, LATENCY_BUCKETS
 from ..functions.scalars import report_latency
 
-#: Kind of each exported metric, and its help text.
+#: Flags of judged ticks, and the names of the anomalies they mark.
+ANOMALIES = {"is_duplicate": "duplicate", "is_out_of_order": "ooo", "is_gap": "gap", "is_drift": "drift", "is_spike": "latency_spike"}
+#: Kind of each exported metric, and its help text (fixed values of the format).
 METRICS = {
     "events_total": ("counter", "Total events processed"),
     "events_per_second": ("gauge", "Current events per second"),
@@ -24,8 +26,12 @@ def snapshots(ticks: DataFrame, step_ms: int) -> DataFrame:
     """Long-format counters (at_ms, name, label, value), as scraped every step_ms of receipt.
 
     Events are summed per step first; only those sums are accumulated.
-    Steps without events have no sample.
+    Steps without events have no sample. Ticks that carry flags have series
+    for their anomalies and incidents too; events_per_second is a gauge, of
+    the step alone.
     """
+    marks = [("anomalies_total", ANOMALY_LABELS[label], c) for c, label in ANOMALIES.items() if c in ticks.columns]
+    marks += [("incidents_total", "", "is_incident")] * ("is_incident" in ticks.columns)
     latency = report_latency(F.col("ingest_ts_ms"), F.col("recv_ts_ms"))
     step = F.floor(F.col("recv_ts_ms") / step_ms).cast("long") * step_ms + step_ms
     sums = ticks.groupBy(step.alias("at_ms")).agg(
@@ -33,11 +39,14 @@ def snapshots(ticks: DataFrame, step_ms: int) -> DataFrame:
         F.coalesce(F.sum(latency), F.lit(0)).alias("sum"),
         F.count(latency).alias("count"),
         *[F.count_if(latency <= edge).alias(f"b{i}") for i, edge in enumerate(LATENCY_BUCKETS)],
+        *[F.count_if(F.col(c)).alias(c) for _, _, c in marks],
     )
     upto = Window.orderBy("at_ms").rowsBetween(Window.unboundedPreceding, 0)
     names = [("events_total", "", "events"), ("latency_ms_sum", "", "sum"), ("latency_ms_count", "", "count"), ("latency_ms_bucket", "+Inf", "count")]
-    names += [("latency_ms_bucket", str(edge), f"b{i}") for i, edge in enumerate(LATENCY_BUCKETS)]
-    total = sums.select("at_ms", *[F.sum(c).over(upto).cast("double").alias(c) for c in dict.fromkeys(c for _, _, c in names)])
+    names += [("latency_ms_bucket", str(edge), f"b{i}") for i, edge in enumerate(LATENCY_BUCKETS)] + marks
+    gauge = (F.col("events") / (step_ms / 1000.0)).alias("eps")
+    total = sums.select("at_ms", *[F.sum(c).over(upto).cast("double").alias(c) for c in dict.fromkeys(c for _, _, c in names)], gauge)
+    names.append(("events_per_second", "", "eps"))
     pairs = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(label).alias("label"), F.col(c).alias("value")) for n, label, c in names])
     return total.select("at_ms", F.explode(pairs).alias("m")).select("at_ms", "m.name", "m.label", "m.value")
 
@@ -94,17 +103,21 @@ def histogram_quantile(samples: DataFrame, q: float, window_ms: int) -> DataFram
     return first.select("at_ms", value.alias("quantile"))
 
 
-def exposition(ticks: DataFrame, counted: DataFrame, histogram: DataFrame, prefix: str = "tideglass") -> DataFrame:
-    """(place, line): the text form of all metrics, histogram buckets cumulative.
+def queue_totals(drops: DataFrame) -> DataFrame:
+    """(drops, depth): all rows that shed queues dropped, and the most that one held; 0 without any."""
+    return drops.agg(F.coalesce(F.sum("dropped"), F.lit(0)).alias("drops"), F.coalesce(F.max("kept"), F.lit(0)).alias("depth"))
 
-    events_per_second is over the whole span of receipt; drops and queue
-    depth are 0, as nothing is shed.
+
+def exposition(ticks: DataFrame, counted: DataFrame, histogram: DataFrame, queues: DataFrame, prefix: str = "tideglass") -> DataFrame:
+    """(place, line): the text form of all metrics, histogram buckets cumulative; queues is queue_totals().
+
+    events_per_second is over the whole span of receipt.
     """
     latency = report_latency(F.col("ingest_ts_ms"), F.col("recv_ts_ms"))
     span = (F.max("recv_ts_ms") - F.min("recv_ts_ms")) / 1000.0
     totals = ticks.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(latency), F.lit(0)).alias("s"), F.count(latency).alias("c"), F.when(span > 0, F.count(F.lit(1)) / span).otherwise(0.0).alias("eps"))
     buckets = histogram.agg(F.map_from_entries(F.collect_list(F.struct("le", "events"))).alias("h"))
-    one = totals.crossJoin(F.broadcast(counted)).crossJoin(F.broadcast(buckets))  # three single rows
+    one = totals.crossJoin(F.broadcast(counted)).crossJoin(F.broadcast(buckets)).crossJoin(F.broadcast(queues))  # four single rows
     long = lambda c: F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
     lines: list[Column] = []
 
@@ -117,7 +130,7 @@ def exposition(ticks: DataFrame, counted: DataFrame, histogram: DataFrame, prefi
 
     head("events_total"), sample("events_total", long("n")), lines.append(F.lit(""))
     head("events_per_second"), sample("events_per_second", F.format_string("%.2f", "eps")), lines.append(F.lit(""))
-    head("drops_total"), sample("drops_total", F.lit("0")), lines.append(F.lit(""))
+    head("drops_total"), sample("drops_total", long("drops")), lines.append(F.lit(""))
     head("anomalies_total")
     for column, label in (("duplicates", "duplicate"), ("out_of_order", "out_of_order"), ("gaps", "sequence_gap"), ("drift", "schema_drift"), ("spikes", "latency_spike")):
         sample("anomalies_total", long(column), f'{{type="{label}"}}')
@@ -127,5 +140,5 @@ def exposition(ticks: DataFrame, counted: DataFrame, histogram: DataFrame, prefi
     for edge in [*map(str, LATENCY_BUCKETS), "+Inf"]:
         sample("latency_ms_bucket", long(F.col("h")[edge]), f'{{le="{edge}"}}')
     sample("latency_ms_sum", long("s")), sample("latency_ms_count", long("c")), lines.append(F.lit(""))
-    head("queue_depth_max"), sample("queue_depth_max", F.lit("0"))
+    head("queue_depth_max"), sample("queue_depth_max", long("depth"))
     return one.select(F.posexplode(F.array(*lines)).alias("place", "line"))

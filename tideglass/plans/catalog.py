@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.config import DEFAULTS, LATENCY_BUCKETS
+from ..functions.scratch import stored
 from ..operators import analytics, chaos, drift, incidents, ingest, integrity, latency, metrics, report, shedding
 from ..sources.synthetic import synthetic_ticks
 from ..sources.ticks import RAW_SQL, TICKS_SQL, raw_ticks, ticks
@@ -192,27 +193,58 @@ def lru_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.lru_duplicates(ticks(spark, sf_dir), LRU_IDS)
 
 
-COUNTED = FLAGS + SPIKES + """, counted_all as (
-  select count(*) as processed, 0::bigint as drift, count(*) filter (is_duplicate) as duplicates, count(*) filter (is_out_of_order) as out_of_order,
-    count(*) filter (is_gap) as gaps, count(*) filter (is_spike) as spikes, 0::bigint as incidents
-  from flagged join spiked using (arrival_seq)
+DRIFT = """, judged as (
+  select arrival_seq, drift_kind,
+    list_sort(list_filter(['type', 'product_id', 'price', 'last_size', 'time', 'ingest_ts_ms'], lambda x: not list_contains(json_keys(raw), x))) as missing,
+    list_sort(list_filter(json_keys(raw), lambda x: not list_contains(['type', 'product_id', 'price', 'last_size', 'time', 'ingest_ts_ms', 'recv_ts_ms', 'trade_id', 'sequence'], x))) as unexpected,
+    list_sort(list_filter([
+      case when json_type(raw, '$.type') <> 'VARCHAR' then 'type' end, case when json_type(raw, '$.product_id') <> 'VARCHAR' then 'product_id' end,
+      case when json_type(raw, '$.price') not in ('UBIGINT', 'BIGINT', 'DOUBLE', 'BOOLEAN') then 'price' end,
+      case when json_type(raw, '$.last_size') not in ('UBIGINT', 'BIGINT', 'DOUBLE', 'BOOLEAN') then 'last_size' end,
+      case when json_type(raw, '$.time') <> 'VARCHAR' then 'time' end,
+      case when json_type(raw, '$.ingest_ts_ms') not in ('UBIGINT', 'BIGINT', 'BOOLEAN') then 'ingest_ts_ms' end], lambda x: x is not null)) as wrong
+  from raw
+), drifted as (
+  select arrival_seq, drift_kind, coalesce(array_to_string(missing, ','), '') as missing_keys, coalesce(array_to_string(wrong, ','), '') as type_mismatches,
+    coalesce(array_to_string(unexpected, ','), '') as unexpected_keys, len(missing) > 0 or len(wrong) > 0 as is_drift from judged
+)"""
+
+
+JUDGED = captures(500, 200) + DRIFT + """, marked as (
+  select t.*, is_duplicate, is_out_of_order, is_gap, is_spike, coalesce(d.is_drift, false) as is_drift, c.seq is not null as is_incident
+  from ticks t join flagged f using (arrival_seq) join spiked s using (arrival_seq) left join drifted d using (arrival_seq)
+    left join captured c on c.seq = t.arrival_seq
+)"""
+COUNTED = JUDGED + """, counted_all as (
+  select count(*) as processed, count(*) filter (is_drift) as drift, count(*) filter (is_duplicate) as duplicates, count(*) filter (is_out_of_order) as out_of_order,
+    count(*) filter (is_gap) as gaps, count(*) filter (is_spike) as spikes, count(*) filter (is_incident) as incidents from marked
 )"""
 
 
+def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ticks with all flags: integrity, spikes, drift of their raw text, and whether they opened a (small) capture."""
+    rows = stored(ticks(spark, sf_dir), "ticks")
+    spiked = stored(latency.spikes(rows).select("arrival_seq", "is_spike"), "spiked")
+    flagged = integrity.flags(rows)
+    drifted = drift.check_drift(raw_ticks(spark, sf_dir)).select("arrival_seq", "is_drift")
+    last_seq = rows.agg(F.max("arrival_seq")).first()[0]
+    opened = incidents.resolve(incidents.triggers(rows, SMALL, spiked), last_seq, SMALL).select(F.col("seq").alias("arrival_seq"), F.lit(True).alias("is_incident"))
+    joined = flagged.join(spiked, "arrival_seq", "left").join(drifted, "arrival_seq", "left").join(opened, "arrival_seq", "left")
+    return joined.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("is_spike", "is_drift", "is_incident")})
+
+
 def counted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = integrity.flags(ticks(spark, sf_dir))
-    fired = latency.spikes(ticks(spark, sf_dir)).select(F.col("arrival_seq").alias("__a"), "is_spike")
-    return integrity.counters(rows.join(fired, rows["arrival_seq"] == fired["__a"], "left"))
+    return integrity.counters(marked(spark, sf_dir))
 
 
-@query(COUNTED + " select * from counted_all")
+@query(COUNTED + " select * from counted_all", RAW_SQL)
 def forensics_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted(spark, sf_dir)
 
 
 @query(COUNTED + """
 select unnest(['schema_drift', 'duplicate', 'out_of_order', 'sequence_gap', 'latency_spike']) as type,
-  unnest([drift, duplicates, out_of_order, gaps, spikes]) as total from counted_all""")
+  unnest([drift, duplicates, out_of_order, gaps, spikes]) as total from counted_all""", RAW_SQL)
 def anomalies_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.anomalies_by_type(counted(spark, sf_dir))
 
@@ -260,23 +292,6 @@ def latency_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latency.spikes(ticks(spark, sf_dir)).select("arrival_seq", "sample", "over", "is_breach", "is_spike")
 
 
-DRIFT = """, judged as (
-  select arrival_seq, drift_kind,
-    list_sort(list_filter(['type', 'product_id', 'price', 'last_size', 'time', 'ingest_ts_ms'], lambda x: not list_contains(json_keys(raw), x))) as missing,
-    list_sort(list_filter(json_keys(raw), lambda x: not list_contains(['type', 'product_id', 'price', 'last_size', 'time', 'ingest_ts_ms', 'recv_ts_ms', 'trade_id', 'sequence'], x))) as unexpected,
-    list_sort(list_filter([
-      case when json_type(raw, '$.type') <> 'VARCHAR' then 'type' end, case when json_type(raw, '$.product_id') <> 'VARCHAR' then 'product_id' end,
-      case when json_type(raw, '$.price') not in ('UBIGINT', 'BIGINT', 'DOUBLE', 'BOOLEAN') then 'price' end,
-      case when json_type(raw, '$.last_size') not in ('UBIGINT', 'BIGINT', 'DOUBLE', 'BOOLEAN') then 'last_size' end,
-      case when json_type(raw, '$.time') <> 'VARCHAR' then 'time' end,
-      case when json_type(raw, '$.ingest_ts_ms') not in ('UBIGINT', 'BIGINT', 'BOOLEAN') then 'ingest_ts_ms' end], lambda x: x is not null)) as wrong
-  from raw
-), drifted as (
-  select arrival_seq, drift_kind, coalesce(array_to_string(missing, ','), '') as missing_keys, coalesce(array_to_string(wrong, ','), '') as type_mismatches,
-    coalesce(array_to_string(unexpected, ','), '') as unexpected_keys, len(missing) > 0 or len(wrong) > 0 as is_drift from judged
-)"""
-
-
 @query(DRIFT + " select arrival_seq, missing_keys, type_mismatches, unexpected_keys, is_drift from drifted", RAW_SQL)
 def schema_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.check_drift(raw_ticks(spark, sf_dir)).select("arrival_seq", "missing_keys", "type_mismatches", "unexpected_keys", "is_drift")
@@ -289,7 +304,7 @@ def drift_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def small_incidents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = ticks(spark, sf_dir)
+    rows = stored(ticks(spark, sf_dir), "ticks")
     return rows, incidents.incidents(rows, SMALL)
 
 
@@ -393,6 +408,7 @@ SNAPSHOTS = f""", steps as (
   union all select at_ms, 'latency_ms_sum', '', s::double from wide union all select at_ms, 'latency_ms_count', '', events::double from wide
   union all select at_ms, 'latency_ms_bucket', '+Inf', events::double from wide
   {" ".join(f"union all select at_ms, 'latency_ms_bucket', '{e}', b{i}::double from wide" for i, e in enumerate(LATENCY_BUCKETS))}
+  union all select at_ms, 'events_per_second', '', events / ({STEP_MS} / 1000.0::double) from steps
 ), steps_up as (
   select *, coalesce(case when value < before then value else value - before end, 0) as d from (
     select *, lag(value) over (partition by name, label order by at_ms) as before from samples)
@@ -450,6 +466,12 @@ def prom_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.latest(samples(spark, sf_dir))
 
 
+def shed_sql(direction: str) -> str:
+    return f"""
+select burst, count(*) filter (k <= 1000) as kept, count(*) filter (k > 1000) as dropped from (
+  select (arrival_seq - 1) // 1500 as burst, row_number() over (partition by (arrival_seq - 1) // 1500 order by arrival_seq {direction}) as k from ticks) group by burst"""
+
+
 def exposition_sql() -> str:
     lines: list[str] = []
 
@@ -460,7 +482,7 @@ def exposition_sql() -> str:
     def sample(name: str, value: str, label: str = "") -> None:
         lines.append(f"'tideglass_{name}{label} ' || {value}")
 
-    totals = {"events_total": "processed", "events_per_second": "printf('%.2f', eps)", "drops_total": "'0'"}
+    totals = {"events_total": "processed", "events_per_second": "printf('%.2f', eps)", "drops_total": "drops"}
     for name, value in totals.items():
         head(name)
         sample(name, value)
@@ -480,18 +502,56 @@ def exposition_sql() -> str:
     sample("latency_ms_count", "c")
     lines.append("''")
     head("queue_depth_max")
-    sample("queue_depth_max", "'0'")
+    sample("queue_depth_max", "depth")
     buckets = ", ".join(f"count(*) filter (ms <= {e}) as b{i}" for i, e in enumerate(LATENCY_BUCKETS))
     return COUNTED + LATENCY + f""", latency_sums as (select coalesce(sum(ms), 0)::bigint as s, count(*) as c, {buckets} from latencies
 ), rates as (select count(*) / ((max(recv_ts_ms) - min(recv_ts_ms)) / 1000.0::double) as eps from ticks
-), texts as (select [{", ".join(lines)}] as l from counted_all, latency_sums, rates)
+), queues as ({shed_sql("desc")}), queue_sums as (select sum(dropped)::bigint as drops, max(kept) as depth from queues
+), texts as (select [{", ".join(lines)}] as l from counted_all, latency_sums, rates, queue_sums)
 select (i - 1)::int as place, l[i] as line from texts, unnest(range(1, len(l) + 1)) as u(i)"""
 
 
-@query(exposition_sql())
+def queues(rows: DataFrame) -> DataFrame:
+    return metrics.queue_totals(shedding.drops(shedding.shed(rows, 1500, DEFAULTS.consumer_queue)))
+
+
+@query(exposition_sql(), RAW_SQL)
 def prometheus_exposition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ticks(spark, sf_dir)
-    return metrics.exposition(rows, counted(spark, sf_dir), latency.histogram(rows))
+    rows = stored(marked(spark, sf_dir), "marked")
+    return metrics.exposition(rows, integrity.counters(rows), latency.histogram(rows), queues(rows))
+
+
+MARKS = [("is_duplicate", "duplicate"), ("is_out_of_order", "out_of_order"), ("is_gap", "sequence_gap"), ("is_drift", "schema_drift"), ("is_spike", "latency_spike")]
+
+
+@query(JUDGED + f""", per_step as (
+  select recv_ts_ms // {STEP_MS} * {STEP_MS} + {STEP_MS} as at_ms, {", ".join(f"count(*) filter ({c}) as {c}" for c, _ in MARKS)} from marked group by 1
+), long as ({" union all ".join(f"select at_ms, '{label}' as label, {c}::double as d from per_step" for c, label in MARKS)}
+)
+select at_ms, label, sum(d) over w - first_value(d) over w as increase from long
+window w as (partition by label order by at_ms range between {RATE_MS} preceding and current row)""", RAW_SQL)
+def prom_anomaly_increase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Growth of each anomaly's counter over the window; a counter's first value is no growth."""
+    found = metrics.snapshots(marked(spark, sf_dir), STEP_MS).filter("name = 'anomalies_total'")
+    return metrics.increase(found, RATE_MS).select("at_ms", "label", "increase")
+
+
+@query(COUNTED + f""", queues as ({shed_sql("desc")}), newest as (
+  select count(*) / ({STEP_MS} / 1000.0::double) as eps from ticks where recv_ts_ms // {STEP_MS} = (select max(recv_ts_ms // {STEP_MS}) from ticks)
+)
+select unnest(['events_total', 'events_per_second', 'incidents_total', 'drops_total', 'queue_depth_max']) as name,
+  unnest([processed::double, eps, incidents::double, (select sum(dropped) from queues)::double, (select max(kept) from queues)::double]) as value from counted_all, newest""", RAW_SQL)
+def prom_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dashboard's single numbers: the last values of the totals and gauges."""
+    rows = stored(marked(spark, sf_dir), "marked")
+    found = metrics.latest(metrics.snapshots(rows, STEP_MS)).filter("name in ('events_total', 'events_per_second', 'incidents_total')").select("name", "value")
+    held = queues(rows).select(F.explode(F.create_map(F.lit("drops_total"), F.col("drops").cast("double"), F.lit("queue_depth_max"), F.col("depth").cast("double"))).alias("name", "value"))
+    return found.union(held)
+
+
+@query(quantile_sql(0.95))
+def prom_histogram_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.histogram_quantile(samples(spark, sf_dir), 0.95, RATE_MS).withColumn("quantile", F.round("quantile", 6))
 
 
 @query()
@@ -512,12 +572,6 @@ def chaos_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return injected.groupBy("injected").agg(F.count(F.lit(1)).alias("events"), F.count_if("is_drift").alias("detected"))
 
 
-def shed_sql(direction: str) -> str:
-    return f"""
-select burst, count(*) filter (k <= 1000) as kept, count(*) filter (k > 1000) as dropped from (
-  select (arrival_seq - 1) // 1500 as burst, row_number() over (partition by (arrival_seq - 1) // 1500 order by arrival_seq {direction}) as k from ticks) group by burst"""
-
-
 @query(shed_sql("desc"))
 def queue_drop_oldest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shedding.drops(shedding.shed(ticks(spark, sf_dir), 1500, DEFAULTS.consumer_queue))

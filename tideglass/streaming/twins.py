@@ -6,8 +6,6 @@ one file per micro-batch, and the sink's rows are read back.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.config import DEFAULTS, EngineConfig
+from ..functions.scratch import shared_dir
 from ..operators.integrity import flags
 from ..sources.jsonl import TICK_SCHEMA
 from . import state
@@ -23,16 +22,6 @@ STREAM_SCHEMA = T.StructType([T.StructField("arrival_seq", T.LongType()), *TICK_
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared one; a local session without one gets its own."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="tideglass-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def written(ticks: DataFrame, name: str, files: int, schema: T.StructType = STREAM_SCHEMA) -> str:
     """Writes ticks as `files` JSON files one after the other, as a file stream reads the older first; returns the folder."""
     path = shared_dir(ticks.sparkSession, name)
