@@ -32,7 +32,7 @@ DRAW_WEIGHTS, DRAW_VECTORS, LEAST_WEIGHT, LEAST_LENGTH = 0.006, 0.001, 0.3, 0.5
 #: Scores from here on are toxic.
 THRESHOLD = 0.7
 #: A worker remembers the hashes of so many words.
-CACHE_SIZE = 300_000
+CACHE_SIZE = 100_000
 
 
 class TermHasher:
