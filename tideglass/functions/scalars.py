@@ -11,6 +11,11 @@ def iso_ms(time: Column) -> Column:
     return F.unix_millis(F.try_to_timestamp(time))
 
 
+def once(value: Column) -> Column:
+    """A dear value as a generated column: the optimizer does not repeat it in each of the expressions and filters that use it."""
+    return F.explode(F.array(value))
+
+
 def now_ms() -> Column:
     return F.unix_millis(F.current_timestamp())
 

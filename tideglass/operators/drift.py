@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.config import OPTIONAL_KEYS, REQUIRED_KEYS
+from ..functions.scalars import once
 
 TEXT, NUMBER, WHOLE = "text", "number", "whole"
 #: What each key must hold; true and false pass for numbers.
@@ -36,7 +37,7 @@ def check_drift(df: DataFrame, raw: str = "raw") -> DataFrame:
     for key, expected in EXPECTED.items():
         kind = F.schema_of_variant(F.try_variant_get("__v", f"$.{key}", "variant"))
         wrong.append(F.when(F.array_contains("__keys", key) & ~F.coalesce(_fits(kind, expected), F.lit(False)), F.lit(key)))
-    judged = df.withColumns({"__keys": keys, "__v": v}).withColumns(
+    judged = df.withColumn("__keys", once(keys)).withColumn("__v", once(v)).withColumns(
         {
             "missing_keys": _sorted(F.array_except(literal(REQUIRED_KEYS), F.col("__keys"))),
             "type_mismatches": _sorted(F.array_compact(F.array(*wrong))),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import money, now_ms, number
+from ..functions.scalars import money, now_ms, number, once
 
 #: Columns of a validated tick.
 MODEL = ("type", "product_id", "price", "last_size", "time", "trade_id")
@@ -13,7 +13,7 @@ MODEL = ("type", "product_id", "price", "last_size", "time", "trade_id")
 
 def decode(df: DataFrame, raw: str = "raw") -> tuple[DataFrame, DataFrame]:
     """(objects with column v: variant, rejects): text that is no JSON object is set aside, never an error."""
-    parsed = df.withColumn("v", F.try_parse_json(F.col(raw)))
+    parsed = df.withColumn("v", once(F.try_parse_json(F.col(raw))))
     is_object = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
     return parsed.filter(is_object), parsed.filter(~is_object).drop("v")
 
