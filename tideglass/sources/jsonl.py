@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.config import DEFAULTS
 from ..operators import report as reporting
 from ..operators.drift import drift_samples
 
@@ -73,8 +72,8 @@ def report_texts(spark: SparkSession, path: str, incident_ids: list[str] | None
     return {r["incident_id"]: reporting.markdown(r.asDict(recursive=True), (analysis or {}).get(r["incident_id"])) for r in rows.toLocalIterator()}
 
 
-def write_drift_samples(df: DataFrame, path: str, most: int | None = DEFAULTS.drift_queue) -> None:
-    """The drifted events with their findings as JSON lines; the first `most` in order if given."""
+def write_drift_samples(df: DataFrame, path: str, most: int | None = None) -> None:
+    """All drifted events with their findings as JSON lines; only the first `most` in order if given, as a full queue would keep."""
     found = drift_samples(df)
     if most is not None:
         found = found.orderBy("arrival_seq").limit(most)
