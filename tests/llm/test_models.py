@@ -115,43 +115,88 @@ def slow_ctw(texts, kept, depth):
     return log2
 
 
-@pytest.mark.parametrize("contexts", [10**6, 300])
-def test_tree_matches_definition(contexts):
-    rng = random.Random(contexts)
+def test_tree_matches_definition():
+    """Subtrees worked on apart, and mixed with the levels above, against the definition; held-out grams have no counts."""
+    rng = random.Random(1)
     texts = [bytes(rng.choice(b"abbcc ") for _ in range(rng.randrange(40))) for _ in range(30)] + [b"", "é".encode()]
-    depth = 3
-    keys, counts = ctw.grams_of(texts, depth)
-    histogram: dict = {}
-    for d in range(2, depth + 1):
-        for b in ctw.bins(ctw.contexts_at(keys, counts, d, depth)[1]).tolist():
-            histogram[b] = histogram.get(b, 0) + 1
-    least = ctw.least_bin_for(histogram, max(0, contexts - 257))
-    levels = ctw.sparse_levels(list(ctw.kept_levels(keys, counts, least, depth)), depth)
-    tree = ctw.weighted_tree(levels, depth)
-    assert np.abs(np.exp2(tree.table.astype(float)).sum(axis=1) - 1).max() < 1e-5
-    kept = set()
-    for d, level in enumerate(levels):
-        for c in level[0].tolist():
-            kept.add(bytes((c >> (8 * k)) & 255 for k in range(d)))  # the oldest byte is the lowest
-    assert (len(kept) < sum(len(ctw.contexts_at(keys, counts, d, depth)[0]) for d in range(depth + 1))) == (contexts == 300)
+    others = [b"abc", b"zz top", "éa".encode(), b""]
+    depth = 4
+    (keys, n), (held, m) = ctw.grams_of(texts, depth), ctw.grams_of(others, depth)
+    keys, n = ctw.merged([(keys, n), (held, 0 * m)])
+    context, top, chosen = keys >> (8 * (depth - ctw.TOP)), [], []
+    for part in range(3):  # contexts of three bytes are dealt to parts
+        inside = context % 3 == part
+        q, nodes = ctw.subtrees(keys[inside], n[inside], depth)
+        chosen.append((keys[inside], q))
+        top.append(nodes)
+    node, at = np.unique(np.concatenate([t[0] for t in top]), return_inverse=True)
+    mass = ctw.top_levels(node, *(np.bincount(at, np.concatenate([t[i] for t in top])) for i in (1, 2, 3)))
+    assert np.abs(mass.sum(axis=0) - 1).max() < 1e-12
+    bits = {k: v for rows, q in chosen for k, v in zip(rows.tolist(), ctw.gram_log2(rows, q, node, mass, depth).tolist())}
+    kept = {(bytes([255]) * depth + t)[i - d : i] for t in texts for i in range(depth, depth + len(t) + 1) for d in range(1, depth + 1)}
     log2 = slow_ctw(texts, kept, depth)
-    for text in [b"abc", b"", b"zz top", "éa".encode(), *texts[:3]]:
+    for text in [*others, *texts[:5]]:
         data = bytes([255]) * depth + text + bytes([255])
         want = sum(log2(data[i - depth : i], data[i]) for i in range(depth, len(data)))
-        assert tree.log2([text, b"other"])[0] == pytest.approx(want, abs=1e-3)
+        mine, counts = ctw.grams_of([text], depth)
+        assert sum(bits[k] * c for k, c in zip(mine.tolist(), counts.tolist())) == pytest.approx(want, abs=1e-3)
+
+
+def test_slot_table():
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 1 << 48, 5000))
+    table = ctw.slot_table(keys, np.arange(len(keys)) + 1.0)
+    asked = np.concatenate([keys, keys + 1])
+    values, missed = ctw.looked_up(asked, *table)
+    inside = np.isin(asked, keys)
+    assert (np.flatnonzero(~inside) == missed).all() and (values[~inside] == 0).all()
+    assert (values[inside] == np.searchsorted(keys, asked[inside]) + 1).all()
+    empty = ctw.looked_up(keys, *ctw.slot_table(keys[:0], np.zeros(0)))
+    assert len(empty[1]) == len(keys)
 
 
 def test_scores_do_not_depend_on_slices(monkeypatch):
     rng = random.Random(3)
     texts = [prose(rng, rng.randrange(60)).encode() for _ in range(40)] + [b""]
     keys, counts = ctw.grams_of(texts)
-    tree = ctw.weighted_tree(ctw.sparse_levels(list(ctw.kept_levels(keys, counts, 2, ctw.DEPTH)), ctw.DEPTH))
-    whole = tree.log2(texts)
-    monkeypatch.setattr(ctw, "SLICE", 50)
+    table = ctw.slot_table(keys[::2], -np.log(1.0 + counts[::2]))
+    whole, lacking = ctw.text_log2(texts, table)
     monkeypatch.setattr(ctw.slices, "__defaults__", (50,))
-    assert tree.log2(texts) == pytest.approx(whole)
+    again, still = ctw.text_log2(texts, table)
+    assert again == pytest.approx(whole) and [x.tolist() for x in lacking] == [x.tolist() for x in still]
     again = ctw.grams_of(texts)
     assert (again[0] == keys).all() and (again[1] == counts).all()
+    assert sum(len(x) for x in lacking) == counts[1::2].sum()
+
+
+def test_scores_do_not_depend_on_tables(spark, monkeypatch):
+    """Broadcast or joined, in one piece or many, with a very long text: the same scores."""
+    rng = random.Random(8)
+    rows = [(i, prose(rng, rng.randrange(40))) for i in range(60)] + [(70, prose(rng, 60_000)), (71, "x" * 50_000), (72, None), (73, "w1"), (73, "w1")]
+    docs = documents(spark, rows)
+    first = {(r["doc_id"], r["n_bytes"]): r for r in ctw.score_texts(docs).collect()}
+    monkeypatch.setattr(ctw, "SUBTREE_GRAMS", 500)
+    monkeypatch.setattr(ctw, "HELD_GRAMS", 300)
+    second = ctw.score_texts(docs, frequent=3, frequent_grams=100).collect()
+    assert len(second) == len(rows)
+    for r in second:
+        was = first[r["doc_id"], r["n_bytes"]]
+        assert (r["score"], r["base_score"]) == pytest.approx((was["score"], was["base_score"]), rel=1e-6)
+        assert (r["n_known"], r["n_tokens"], r["train_tokens"]) == (was["n_known"], was["n_tokens"], was["train_tokens"])
+
+
+def test_whole_scores_match_definition(spark):
+    rng = random.Random(9)
+    rows = [(i, prose(rng, rng.randrange(8), 9)) for i in range(25)] + [(90, "unheard of")]
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    texts = [t.encode() for i, t in rows if not held(i)]
+    depth = 3
+    kept = {(bytes([255]) * depth + t)[i - d : i] for t in texts for i in range(depth, depth + len(t) + 1) for d in range(1, depth + 1)}
+    log2 = slow_ctw(texts, kept, depth)
+    for r in ctw.score_texts(documents(spark, rows), depth=depth).collect():
+        data = bytes([255]) * depth + dict(rows)[r["doc_id"]].encode() + bytes([255])
+        want = sum(log2(data[i - depth : i], data[i]) for i in range(depth, len(data)))
+        assert r["score"] == pytest.approx(want * math.log10(2), abs=1e-3)
 
 
 def test_score_texts(spark):

@@ -5,14 +5,18 @@ it form a context tree whose nodes count zeros and ones. A node's
 Krichevsky-Trofimov (KT) block probability P_e and its children's weighted
 ones are mixed half and half,
 
-    P_w(s) = 1/2 P_e(s) + 1/2 P_e(rest of s) * prod over kept children P_w(c),
+    P_w(s) = 1/2 P_e(s) + 1/2 prod over children P_w(c),
 
-so the code length reflects every depth at once. Counts come from all
-training texts. The tree keeps the most frequent contexts up to a fixed
-number (a parameter of the model, like a vocabulary's size); at each node
-the bytes seen under contexts that are not kept share one more leaf, the
-"rest". After training the mix for every kept context and next byte is
-worked out once, so that scoring is a table look-up per byte.
+so the code length reflects every depth at once. The tree has every context
+of the training texts, however many there are; a context that they lack has
+counts of zero and says one half.
+
+No machine holds the tree. All grams (a context of `depth` bytes and the next
+byte) of all texts are counted and dealt by their latest three bytes, so that
+a subtree below such a context is in one place, of at most 256 ** (depth - 2)
+grams. The levels above are small and mixed on the driver. The result is one
+number per gram, its log2 probability: the frequent ones are broadcast, the
+others meet their texts in a join.
 
 A text is its bytes and one end mark; before its start the context is end
 marks.
@@ -21,25 +25,25 @@ marks.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_fold, materialize
 
-#: Bytes of context, and kept contexts at most.
-DEPTH, CONTEXTS = 5, 65_000
+#: Bytes of context, and how many of them the driver's levels have.
+DEPTH, TOP = 5, 2
 #: No UTF-8 text has this byte.
 END = 0xFF
-#: Documents for each part that the grams are dealt to.
-PART_DOCS = 1_000
-#: Positions handled at once, and words of the two-tier count table that are broadcast at most.
-SLICE, FREQUENT = 1 << 20, 200_000
+#: Positions handled at once; grams and words in the broadcast tables at most (caches: results do not depend on them).
+SLICE, FREQUENT_GRAMS, FREQUENT = 1 << 20, 1 << 20, 200_000
+#: Grams and words a counting task holds before it passes them on, and grams whose subtrees are worked on at once.
+HELD_GRAMS, HELD_WORDS, SUBTREE_GRAMS = 2_000_000, 500_000, 400_000
 
 
 def lowered(text: str | None) -> bytes:
@@ -72,8 +76,16 @@ def counted_marks(a: int, b: int, ends: np.ndarray, depth: int) -> np.ndarray:
     return kept
 
 
+def gram_keys(array: np.ndarray, a: int, b: int, depth: int) -> np.ndarray:
+    """The gram at each position of [a, b): the latest context byte is the highest, the next byte the lowest."""
+    key = np.zeros(b - a, np.int64)
+    for d in range(1, depth + 1):
+        key = (key << 8) | array[a - d : b - d]
+    return (key << 8) | array[a:b]
+
+
 def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys and their summed counts."""
+    """Sorted distinct keys and their summed counts (one or more columns)."""
     keys, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     if not len(keys):
         return keys, counts
@@ -84,15 +96,12 @@ def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 
 def grams_of(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of (context, next byte); in a key the latest context byte is the highest, the next byte the lowest."""
+    """Sorted distinct grams and their counts."""
     array, starts = laid_out(texts, depth)
     lengths = np.array([len(t) for t in texts], np.int64)
-    parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     for a, b in slices(starts, lengths):
-        key = np.zeros(b - a, np.uint64)
-        for d in range(1, depth + 1):
-            key = (key << np.uint64(8)) | array[a - d : b - d]
-        key = ((key << np.uint64(8)) | array[a:b])[counted_marks(a, b, starts + lengths, depth)]
+        key = gram_keys(array, a, b, depth)[counted_marks(a, b, starts + lengths, depth)]
         found, n = np.unique(key, return_counts=True)
         parts.append((found, n.astype(np.int64)))
         if len(parts) > 4:
@@ -100,19 +109,6 @@ def grams_of(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.nda
     return merged(parts)
 
 
-def contexts_at(keys: np.ndarray, counts: np.ndarray, d: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Contexts of d bytes in sorted gram keys, and how often they occur."""
-    context = keys >> np.uint64(8 * (depth + 1 - d))
-    starts = np.flatnonzero(np.r_[True, context[1:] != context[:-1]]) if len(keys) else np.zeros(0, np.int64)
-    return context[starts], np.add.reduceat(counts, starts) if len(starts) else counts
-
-
-def bins(counts: np.ndarray) -> np.ndarray:
-    """Counts, coarser from 1,024 on (64 bins an octave)."""
-    large = 1024 + np.floor(np.log2(np.maximum(counts, 1024) / 1024) * 64)
-    return np.where(counts < 1024, counts, large).astype(np.int64)
-
-
 def log_gamma(x: np.ndarray) -> np.ndarray:
     """Log of the gamma function for x of a half or more (Stirling, shifted by eight)."""
     shifted, product = x + 8, x.copy()
@@ -138,273 +134,258 @@ def kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return (ones + 0.5) / (zeros + ones + 1.0)
 
 
-def decisions(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones at the 255 binary decisions, from counts of the 256 bytes."""
-    n = len(counts)
-    zeros, ones = np.empty((n, 255)), np.empty((n, 255))
-    for j in range(8):
-        sums = counts.reshape(n, 1 << j, 2, 1 << (7 - j)).sum(axis=3)
-        zeros[:, (1 << j) - 1 : (2 << j) - 1], ones[:, (1 << j) - 1 : (2 << j) - 1] = sums[:, :, 0], sums[:, :, 1]
-    return zeros, ones
-
+def mixed(estimate: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log of a node's weighted probability, and the posterior weight of ending there."""
+    weighted = np.logaddexp(estimate, below) - np.log(2)
+    return weighted, np.exp(np.minimum(0, estimate - np.log(2) - weighted))
 
-def byte_log2(p: np.ndarray) -> np.ndarray:
-    """log2 probability of the 256 bytes from the probabilities of a one at the 255 decisions."""
-    total = np.zeros((len(p), 1))
-    for j in range(8):
-        q = p[:, (1 << j) - 1 : (2 << j) - 1]
-        total = np.stack([total + np.log2(1 - q), total + np.log2(q)], axis=2).reshape(len(p), -1)
-    return total.astype(np.float32)
 
+def decision(keys: np.ndarray, j: int) -> tuple[np.ndarray, np.ndarray]:
+    """The j-th decision of each gram's next byte: its number (1 to 255) and its outcome."""
+    byte = keys & 255
+    return (1 << j) | (byte >> (8 - j)), (byte >> (7 - j)) & 1
 
-@dataclass
-class ContextTree:
-    """table: log2 probability of each byte per kept context, row 0 the empty one.
 
-    pair_last and pair_next give, by the latest two bytes, the deepest kept
-    context of at most two bytes, and the one to go on from (or the dead one,
-    which is the last row of `children`).
-    """
+def subtrees(keys: np.ndarray, counts: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Mixes all levels below TOP, from sorted grams and their training counts.
 
-    depth: int
-    table: np.ndarray
-    children: np.ndarray
-    pair_last: np.ndarray
-    pair_next: np.ndarray
-
-    def log2(self, texts: list[bytes]) -> np.ndarray:
-        """log2 probability of each text with its end mark."""
-        array, starts = laid_out(texts, self.depth)
-        lengths = np.array([len(t) for t in texts], np.int64)
-        out = np.zeros(len(texts))
-        dead, children, table = self.children.shape[0] - 1, self.children.ravel(), self.table.ravel()
-        for a, b in slices(starts, lengths):
-            pair = (array[a - 1 : b - 1].astype(np.int32) << 8) | array[a - 2 : b - 2]
-            last, here = self.pair_last[pair], self.pair_next[pair]
-            for d in range(3, self.depth + 1):
-                here = children[(here << 8) | array[a - d : b - d]].astype(np.int32)
-                last = np.where(here != dead, here, last)
-            bits = table[(last << 8) | array[a:b]].astype(np.float64)
-            bits[~counted_marks(a, b, starts + lengths, self.depth)] = 0
-            first, stop = np.searchsorted(starts, a, side="right") - 1, np.searchsorted(starts, b)
-            cuts = np.maximum(starts[first:stop] - a, 0)
-            out[first:stop] += np.add.reduceat(bits, cuts)
-        return out
-
-
-def weighted_tree(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], depth: int = DEPTH) -> ContextTree:
-    """The model from, for each depth 0..depth, (contexts, row, byte, count): sorted contexts and their sparse byte counts.
-
-    Every kept context's parent is kept. Subtrees of one latest byte are
-    worked on one after the other, so memory stays small.
+    Returns, per gram and decision, the probability that those levels give
+    its outcome, and per (context of TOP bytes, decision) the node's number,
+    zeros, ones and the log of its children's product. All grams of a context
+    of TOP + 1 bytes have to be there.
     """
-    levels = levels + [(np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)] * (depth + 1 - len(levels))
-    first_row = np.cumsum([0] + [len(level[0]) for level in levels])
-    n = int(first_row[-1])
-    entry_at = [np.searchsorted(row, np.arange(len(contexts) + 1)) for contexts, row, _, _ in levels]
-
-    def dense(d: int, lo: int, hi: int) -> np.ndarray:
-        _, row, byte, count = levels[d]
-        a, b = entry_at[d][lo], entry_at[d][hi]
-        out = np.zeros((hi - lo, 256))
-        out[row[a:b] - lo, byte[a:b]] = count[a:b]
-        return out
-
-    def span(d: int, c: int) -> tuple[int, int]:
-        """Rows of the contexts of d bytes whose latest byte is c."""
-        edges = np.array([c, c + 1], np.uint64) << np.uint64(8 * (d - 1))
-        lo, hi = np.searchsorted(levels[d][0], edges)
-        return int(lo), int(hi)
-
-    def parents(d: int, lo: int, hi: int, above: int) -> np.ndarray:
-        return np.searchsorted(levels[d - 1][0], levels[d][0][lo:hi] >> np.uint64(8)) - above
-
-    stop = np.ones((n, 255), np.float32)  # the posterior weight of ending at a node
-    rests: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def rest_of(d: int, lo: int, hi: int, own: np.ndarray, below: tuple[int, int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Byte counts outside the kept children, and whether a context has kept children."""
-        rest, has = own.copy(), np.zeros(hi - lo, bool)
-        if below[1] > below[0]:
-            p = parents(d + 1, below[0], below[1], lo)
-            np.subtract.at(rest, p, below[2])
-            has[p] = True
-        return rest, has
-
-    root_children = np.zeros(255)
-    for c in range(256):
-        below: tuple[int, int, np.ndarray] = (0, 0, np.zeros((0, 256)))
-        weighted_below = np.zeros((0, 255))
-        for d in range(depth, 0, -1):
-            lo, hi = span(d, c)
-            own = dense(d, lo, hi)
-            estimate = log_kt(*decisions(own))
-            weighted = estimate.copy()
-            rest, has = rest_of(d, lo, hi, own, below)
-            if has.any():
-                mixed = log_kt(*decisions(rest))
-                np.add.at(mixed, parents(d + 1, below[0], below[1], lo), weighted_below)
-                weighted[has] = np.logaddexp(estimate[has], mixed[has]) - np.log(2)
-                stop[first_row[d] + lo : first_row[d] + hi][has] = np.exp(np.minimum(0, estimate[has] - np.log(2) - weighted[has]))
-            below, weighted_below = (lo, hi, own), weighted
-        root_children += weighted_below.sum(axis=0)
-    own = dense(0, 0, 1)
-    zeros, ones = decisions(own)
-    estimate = log_kt(zeros, ones)[0]
-    weighted = np.logaddexp(estimate, root_children) - np.log(2)
-    stop[0] = np.exp(np.minimum(0, estimate - np.log(2) - weighted))
-    summed, left = (stop[:1] * kt(zeros, ones)).astype(np.float64), 1.0 - stop[:1].astype(np.float64)
-    table = np.empty((n, 256), np.float32)
-    table[0] = byte_log2(summed + left * 0.5)[0]
-    for c in range(256):
-        above = (0, summed, left)
-        for d in range(1, depth + 1):
-            lo, hi = span(d, c)
-            if hi == lo:
-                break
-            own = dense(d, lo, hi)
-            below_at = span(d + 1, c) if d < depth else (0, 0)
-            below = (*below_at, dense(d + 1, *below_at)) if d < depth else (0, 0, np.zeros((0, 256)))
-            rest, has = rest_of(d, lo, hi, own, below)
-            p = np.zeros(hi - lo, np.int64) if d == 1 else parents(d, lo, hi, above[0])
-            weight = stop[first_row[d] + lo : first_row[d] + hi].astype(np.float64)
-            weight[~has] = 1.0
-            here = above[1][p] + above[2][p] * weight * kt(*decisions(own))
-            over = above[2][p] * (1 - weight)
-            table[first_row[d] + lo : first_row[d] + hi] = byte_log2(here + over * kt(*decisions(rest)))
-            above = (lo, here, over)
-    dead = n
-    children = np.full((n + 1, 256), dead, np.uint16 if n < 2**16 else np.int32)
-    for d in range(1, depth + 1):
-        contexts = levels[d][0]
-        if len(contexts):
-            parent = first_row[d - 1] + np.searchsorted(levels[d - 1][0], contexts >> np.uint64(8))
-            children[parent, (contexts & np.uint64(255)).astype(np.int64)] = first_row[d] + np.arange(len(contexts))
-    one = children[0].astype(np.int32)
-    two = children[one].astype(np.int32).ravel()
-    last = np.where(two != dead, two, np.repeat(np.where(one != dead, one, 0), 256)).astype(np.int32)
-    return ContextTree(depth, table, children, last, two)
-
-
-def sparse_levels(found: list[tuple[int, np.ndarray, np.ndarray]], depth: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """weighted_tree's input from (depth, keys of context and byte, counts)."""
-    levels = []
-    for d in range(depth + 1):
-        keys, counts = merged([(np.zeros(0, np.uint64), np.zeros(0, np.int64)), *[(k, n) for e, k, n in found if e == d]])
-        contexts, row = np.unique(keys >> np.uint64(8), return_inverse=True)
-        if not d and not len(contexts):
-            contexts = np.zeros(1, np.uint64)
-        levels.append((contexts, row.astype(np.int64), (keys & np.uint64(255)).astype(np.int64), counts))
-    return levels
-
-
-def kept_levels(keys: np.ndarray, counts: np.ndarray, least_bin: int, depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(depth, keys of context and byte, counts) of the contexts to keep: all of up to one byte, deeper ones from a bin on."""
-    for d in range(depth + 1):
-        context = keys >> np.uint64(8 * (depth + 1 - d))
-        here, n = keys, counts
-        if d > 1:
-            distinct, total = contexts_at(keys, counts, d, depth)
-            chosen = np.isin(context, distinct[bins(total) >= least_bin])
-            context, here, n = context[chosen], keys[chosen], counts[chosen]
-        yield d, *merged([((context << np.uint64(8)) | (here & np.uint64(255)), n)])
-
-
-def least_bin_for(histogram: dict[int, int], contexts: int) -> int:
-    """The lowest bin such that no more than `contexts` deep contexts are in it or above."""
-    kept, least = 0, max(histogram, default=0) + 1
-    for b in sorted(histogram, reverse=True):
-        kept += histogram[b]
-        if kept > contexts:
-            break
-        least = b
-    return least
-
-
-PART = "part int, keys binary, counts binary"
-
-
-def blob(keys: np.ndarray) -> bytes:
-    return keys.tobytes()
-
-
-def dealt(keys: np.ndarray, counts: np.ndarray, parts: int, depth: int) -> list[tuple[int, bytes, bytes]]:
-    """Grams dealt by their latest two context bytes, so that deeper contexts are whole in one part."""
-    pair = keys >> np.uint64(8 * (depth - 1))
-    part = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(parts)
-    order = np.argsort(part, kind="stable")
-    cuts = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
-    return [(p, blob(keys[order[a:b]]), blob(counts[order[a:b]])) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
-
-
-def loaded(row: tuple[bytes, bytes]) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(row[0], np.uint64), np.frombuffer(row[1], np.int64)
+    chosen, tops = np.empty((len(keys), 8), np.float32), []
+    for j in range(8):
+        number, bit = decision(keys, j)
+        node = ((keys >> 8) << 8) | number
+        starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]]) if len(node) else np.zeros(0, np.int64)
+        run = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(node)]))
+        node = node[starts]
+        ones = np.bincount(run, counts * bit, len(starts))
+        zeros = np.bincount(run, counts, len(starts)) - ones
+        estimate = log_kt(zeros, ones)
+        weighted, levels = estimate, [(None, np.ones(len(starts)), kt(zeros, ones))]
+        for d in range(depth - 1, TOP - 1, -1):
+            node, parent = np.unique(((node >> 16) << 8) | (node & 255), return_inverse=True)
+            zeros, ones, below = (np.bincount(parent, v, len(node)) for v in (zeros, ones, weighted))
+            if d == TOP:
+                tops.append((node, zeros.astype(np.int64), ones.astype(np.int64), below))
+            else:
+                weighted, stop = mixed(log_kt(zeros, ones), below)
+                levels.append((parent, stop, kt(zeros, ones)))
+        one, left = None, None
+        for i in range(len(levels) - 1, -1, -1):
+            _, stop, p = levels[i]
+            if one is None:
+                one, left = stop * p, 1 - stop
+            else:
+                up = levels[i + 1][0]
+                one, left = one[up] + left[up] * stop * p, left[up] * (1 - stop)
+        one = one[run]
+        chosen[:, j] = np.where(bit == 1, one, 1 - one)
+    return chosen, [np.concatenate([t[i] for t in tops]) for i in range(4)]
+
+
+def top_levels(node: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """Per node of TOP bytes: mass that ends by then and says zero, that says one, and mass that goes on below."""
+    levels, here = [], (node, zeros.astype(float), ones.astype(float), below.astype(float), None)
+    for d in range(TOP, -1, -1):
+        number, z, o, product, parent = here
+        weighted, stop = mixed(log_kt(z, o), product)
+        levels.append((parent, stop, kt(z, o)))
+        if d:
+            above, up = np.unique(((number >> 16) << 8) | (number & 255), return_inverse=True)
+            here = (above, *(np.bincount(up, v, len(above)) for v in (z, o, weighted)), up)
+    mass = None
+    for i in range(TOP, -1, -1):
+        _, stop, p = levels[i]
+        if mass is None:
+            mass = np.stack([stop * (1 - p), stop * p, 1 - stop])
+        else:
+            zero, one, left = mass[:, levels[i + 1][0]]
+            mass = np.stack([zero + left * stop * (1 - p), one + left * stop * p, left * (1 - stop)])
+    return mass
+
+
+def gram_log2(keys: np.ndarray, chosen: np.ndarray, node: np.ndarray, mass: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+    """log2 probability of each gram's next byte after its context; `node` is sorted."""
+    total = np.zeros(len(keys))
+    for j in range(8):
+        number, bit = decision(keys, j)
+        at = np.searchsorted(node, ((keys >> (8 * (depth + 1 - TOP))) << 8) | number)
+        total += np.log2(mass[bit, at] + mass[2, at] * chosen[:, j].astype(float))
+    return total
+
+
+def slot_table(keys: np.ndarray, values: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """An open-addressing table: (shift, slots with keys or -1, values). Keys are distinct."""
+    bits = max(4, int(len(keys) * 2).bit_length())
+    shift = 64 - bits
+    home = slots_of(keys, shift)
+    order = np.argsort(home, kind="stable")
+    at = np.maximum.accumulate(home[order] - np.arange(len(order))) + np.arange(len(order)) if len(order) else home
+    size = max(1 << bits, int(at[-1]) + 1 if len(at) else 0) + 1
+    slots, found = np.full(size, -1, np.int64), np.zeros(size, np.float32)
+    slots[at], found[at] = keys[order], values[order]
+    return shift, slots, found
+
+
+def slots_of(keys: np.ndarray, shift: int) -> np.ndarray:
+    return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(shift)).astype(np.int64)
+
+
+def looked_up(keys: np.ndarray, shift: int, slots: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of the keys (0 where the table lacks one), and the places of those it lacks."""
+    at = slots_of(keys, shift)
+    held = slots[at]
+    open_ = np.flatnonzero((held != keys) & (held != -1))
+    while len(open_):
+        at[open_] += 1
+        held = slots[at[open_]]
+        open_ = open_[(held != keys[open_]) & (held != -1)]
+    out, missed = values[at].astype(np.float64), slots[at] != keys
+    out[missed] = 0
+    return out, np.flatnonzero(missed)
+
+
+def text_log2(texts: list[bytes], table: tuple[int, np.ndarray, np.ndarray], depth: int = DEPTH) -> tuple[np.ndarray, list[np.ndarray]]:
+    """log2 probability of each text with its end mark, less the grams that the table lacks; and those grams."""
+    array, starts = laid_out(texts, depth)
+    lengths = np.array([len(t) for t in texts], np.int64)
+    out, owners, lacking = np.zeros(len(texts)), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a, b in slices(starts, lengths):
+        at = np.flatnonzero(counted_marks(a, b, starts + lengths, depth))
+        keys = gram_keys(array, a, b, depth)[at]
+        bits, missed = looked_up(keys, *table)
+        owner = np.searchsorted(starts, at + a, side="right") - 1
+        out += np.bincount(owner, bits, len(texts))
+        owners.append(owner[missed])
+        lacking.append(keys[missed])
+    cuts = np.searchsorted(np.concatenate(owners), np.arange(1, len(texts)))
+    return out, np.split(np.concatenate(lacking), cuts) if texts else []
 
 
-def gather_counts(training: DataFrame, parts: int, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
-    """(grams by part, words with counts) of all training texts, both written tables.
+def gather_counts(source: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
+    """(gram, c, seen) and (word, c, seen) of all texts: c in training texts, seen in all; both written tables.
 
     Each task sums its own texts before anything is shuffled.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grams, words = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))], Counter()
+        grams: list[tuple[np.ndarray, np.ndarray]] = []
+        words, held_words = Counter(), Counter()
 
         def flush() -> pd.DataFrame:
-            rows = [(*r, None, None) for r in dealt(*merged(grams), parts, depth)]
-            if words:
-                rows.append((-1, None, None, [w.decode("utf-8", "surrogatepass") for w in words], list(words.values())))
-            grams.clear()
-            words.clear()
-            return pd.DataFrame(rows, columns=["part", "keys", "counts", "words", "word_counts"])
+            every = words.keys() | held_words.keys()
+            keys, counts = merged(grams) if grams else (np.zeros(0, np.int64), np.zeros((0, 2), np.int64))
+            out = (keys, counts[:, 0], counts[:, 1], [w.decode("utf-8", "surrogatepass") for w in every], [words[w] for w in every], [words[w] + held_words[w] for w in every])
+            for held in (grams, words, held_words):
+                held.clear()
+            return pd.DataFrame([out], columns=["gram", "gram_c", "gram_seen", "word", "word_c", "word_seen"])
 
         for batch in batches:
-            texts = [lowered(t) for t in batch["text"]]
-            grams.append(grams_of(texts, depth))
-            for t in texts:
-                words.update(t.split())
-            if sum(len(g[0]) for g in grams) > 4_000_000 or len(words) > 500_000:
+            for fold, counter in ((False, words), (True, held_words)):
+                texts = [lowered(t) for t in batch["text"][batch["held_out"] == fold]]
+                keys, n = grams_of(texts, depth)
+                grams.append((keys, np.stack([n * (not fold), n], axis=1)))
+                for t in texts:
+                    counter.update(t.split())
+            if sum(len(g[0]) for g in grams) > HELD_GRAMS:
+                grams = [merged(grams)]
+            if sum(len(g[0]) for g in grams) > HELD_GRAMS // 2 or len(words) + len(held_words) > HELD_WORDS:
                 yield flush()
-        if grams or words:
+        if grams or words or held_words:
             yield flush()
 
-    found = materialize(training.select("text").mapInPandas(count, PART + ", words array<string>, word_counts array<long>"), "counts")
+    kind = "gram array<long>, gram_c array<long>, gram_seen array<long>, word array<string>, word_c array<long>, word_seen array<long>"
+    found = materialize(source.select("held_out", "text").mapInPandas(count, kind), "counts")
 
-    def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, counts = merged([loaded(r) for r in zip(pdf["keys"], pdf["counts"], strict=True)])
-        return pd.DataFrame({"part": pdf["part"].iloc[:1], "keys": [blob(keys)], "counts": [blob(counts)]})
+    def summed(name: str) -> DataFrame:
+        each = found.select(F.explode(F.arrays_zip(name, f"{name}_c", f"{name}_seen")).alias("x"))
+        each = each.select(F.col(f"x.{name}").alias(name), F.col(f"x.{name}_c").alias("c"), F.col(f"x.{name}_seen").alias("seen"))
+        return materialize(each.groupBy(name).agg(F.sum("c").alias("c"), F.sum("seen").alias("seen")), f"{name}s")
 
-    grams = materialize(found.filter("part >= 0").select("part", "keys", "counts").groupBy("part").applyInPandas(total, PART), "grams")
-    pairs = found.filter("part < 0").select(F.explode(F.arrays_zip("words", "word_counts")).alias("w")).select("w.words", "w.word_counts")
-    words = materialize(pairs.groupBy(F.col("words").alias("word")).agg(F.sum("word_counts").alias("c")), "words")
-    return grams, words
+    return summed("gram"), summed("word")
 
 
-def learn_tree(grams: DataFrame, contexts: int = CONTEXTS, depth: int = DEPTH) -> ContextTree:
-    """The weighted tree. To the driver come a histogram and the kept contexts' byte counts, both bounded."""
+def learn_grams(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(gram, seen, bits) of every gram, bits the log2 probability of its byte; a written table.
 
-    def histogram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    To the driver come the nodes of up to TOP bytes: 256 ** TOP contexts of
+    255 decisions at most, those that no text has left out.
+    """
+    if depth <= TOP:
+        raise ValueError(f"depth has to be over {TOP}")
+    spark, shift = grams.sparkSession, 8 * (depth - TOP)
+    fields = [pa.field("gram", pa.int64()), pa.field("seen", pa.int64()), pa.field("chosen", pa.binary())]
+    fields += [pa.field("node", pa.int64()), pa.field("zeros", pa.int64()), pa.field("ones", pa.int64()), pa.field("below", pa.float64())]
+    schema = pa.schema(fields)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def done(rows: np.ndarray, counted: np.ndarray) -> Iterator[pa.RecordBatch]:
+            chosen, top = subtrees(rows, counted[:, 0], depth)
+            lines = pa.Array.from_buffers(pa.binary(8 * 4), len(rows), [None, pa.py_buffer(np.ascontiguousarray(chosen))]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(counted[:, 1].copy()), lines, *[pa.nulls(len(rows), f.type) for f in fields[3:]]], schema=schema)
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(len(top[0]), f.type) for f in fields[:3]], *[pa.array(t) for t in top]], schema=schema)
+
+        for batch in batches:
+            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            held.append((columns[0], np.stack(columns[1:], axis=1)))
+            if sum(len(h[0]) for h in held) > SUBTREE_GRAMS:
+                rows, counted = (np.concatenate([h[i] for h in held]) for i in range(2))
+                context = rows >> shift
+                cut = int(np.searchsorted(context, context[-1]))
+                if cut:
+                    yield from done(rows[:cut], counted[:cut])
+                held = [(rows[cut:], counted[cut:])]
+        if sum(len(h[0]) for h in held):
+            yield from done(*(np.concatenate([h[i] for h in held]) for i in range(2)))
+
+    sorted_grams = grams.select("gram", "c", "seen").repartition(F.shiftright("gram", shift)).sortWithinPartitions("gram")
+    trees = materialize(sorted_grams.mapInArrow(work, "gram long, seen long, chosen binary, node long, zeros long, ones long, below double"), "trees")
+    # decimals, so that the sum does not depend on the order of rows
+    top = trees.filter("node is not null").groupBy("node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum(F.col("below").cast("decimal(28,9)")).cast("double").alias("below"))
+    nodes = {name: np.concatenate([np.zeros(0, kind), *parts]) for name, kind, parts in unzipped(top)}
+    order = np.argsort(nodes["node"])
+    node, zeros, ones, below = (nodes[name][order] for name in ("node", "zeros", "ones", "below"))
+    upper = spark.sparkContext.broadcast((node, top_levels(node, zeros, ones, below)))
+
+    def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in zip(batch["keys"], batch["counts"], strict=True):
-                keys, counts = loaded(row)
-                found = np.concatenate([bins(contexts_at(keys, counts, d, depth)[1]) for d in range(2, depth + 1)])
-                b, n = np.unique(found, return_counts=True)
-                yield pd.DataFrame({"bin": b, "n": n})
+            rows = batch.column(0).to_numpy(zero_copy_only=False)
+            chosen = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float32).reshape(-1, 8)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gram_log2(rows, chosen, *upper.value, depth))], names=["gram", "seen", "bits"])
 
-    counted = grams.mapInPandas(histogram, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()
-    least = least_bin_for({r["bin"]: r["n"] for r in counted}, max(0, contexts - 257))
+    return materialize(trees.filter("gram is not null").select("gram", "seen", "chosen").mapInArrow(value, "gram long, seen long, bits double"), "bits")
+
+
+def unzipped(df: DataFrame) -> list[tuple[str, type, list[np.ndarray]]]:
+    """The columns of a bounded frame of numbers, as arrays."""
+    table = df.toArrow()
+    return [(name, np.int64 if pa.types.is_integer(table.schema.field(name).type) else np.float64, [table.column(name).to_numpy()]) for name in table.column_names]
+
+
+def count_bin(c: Column) -> Column:
+    """Counts, coarser from 1,024 on (64 bins an octave)."""
+    return F.when(c < 1024, c).otherwise(1024 + F.floor(F.log2(c / 1024) * 64)).cast("long")
 
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in zip(batch["keys"], batch["counts"], strict=True):
-                rows = [(d, blob(k), blob(n)) for d, k, n in kept_levels(*loaded(row), least, depth)]
-                yield pd.DataFrame(rows, columns=["part", "keys", "counts"])
 
-    kept = [(r["part"], *loaded((r["keys"], r["counts"]))) for r in grams.mapInPandas(keep, PART).toLocalIterator()]
-    return weighted_tree(sparse_levels(kept, depth), depth)
+def frequent_rows(df: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """(rows seen most often, at most `most` of them; all others), by whole bins of `seen`."""
+    histogram = {r["b"]: r["n"] for r in df.groupBy(count_bin(F.col("seen")).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    kept, least = 0, max(histogram, default=0) + 1
+    for b in sorted(histogram, reverse=True):
+        kept += histogram[b]
+        if kept > most:
+            break
+        least = b
+    inside = count_bin(F.col("seen")) >= least
+    return df.filter(inside), df.filter(~inside)
 
 
-def score_texts(docs: DataFrame, contexts: int = CONTEXTS, depth: int = DEPTH, frequent: int = FREQUENT, modulus: int = 7, remainder: int = 2) -> DataFrame:
+def score_texts(docs: DataFrame, depth: int = DEPTH, frequent: int = FREQUENT, frequent_grams: int = FREQUENT_GRAMS, modulus: int = 7, remainder: int = 2) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte.
 
     Learns from rows whose crc32(doc_id) mod `modulus` is not `remainder`;
@@ -413,28 +394,26 @@ def score_texts(docs: DataFrame, contexts: int = CONTEXTS, depth: int = DEPTH, f
     word-unigram model with one added to every count, over words and one end.
     Null counts as empty: one token, the end. Without training texts the
     tree gives every byte 1/256. Repeated rows are scored and counted each.
-    Empty in, empty out; other columns are not looked at.
+    A text of any length is worked on in slices. Empty in, empty out; other
+    columns are not looked at. `frequent` and `frequent_grams` bound what is
+    broadcast, not what is known.
     """
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), in_fold(F.col("doc_id"), modulus, remainder).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    training = source.filter(~F.col("held_out"))
-    ends = training.count()
-    grams, words = gather_counts(training, min(1 << 16, max(32, ends // PART_DOCS)), depth)
-    n_words, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    ends = source.filter(~F.col("held_out")).count()
+    grams, words = gather_counts(source, depth)
+    n_words, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     train_tokens, divisor = n_words + ends, n_words + ends + (distinct + (ends > 0)) + 1
-    by_count = {r["c"]: r["n"] for r in words.groupBy(F.when(F.col("c") < 1024, F.col("c")).otherwise(1024 + F.floor(F.log2(F.col("c") / 1024) * 64)).cast("long").alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    least = least_bin_for(by_count, frequent)
-    least_count = least if least <= 1024 else int(np.ceil(1024 * 2 ** ((least - 1024) / 64)))
-    table = {r["word"].encode("utf-8", "surrogatepass"): r["c"] for r in words.filter(F.col("c") >= least_count).limit(2 * frequent).collect()}
-    tree = learn_tree(grams, contexts, depth)
+    common_words, rare_words = frequent_rows(words, frequent)
+    counts = {r["word"].encode("utf-8", "surrogatepass"): r["c"] for r in common_words.collect()}
+    common_grams, rare_grams = frequent_rows(learn_grams(grams, depth), frequent_grams)
+    (_, _, (keys,)), (_, _, (bits,)) = unzipped(common_grams.select("gram", "bits"))
     # plain values: a worker may not have this module to load a class from
-    model = spark.sparkContext.broadcast((tree.depth, tree.table, tree.children, tree.pair_last, tree.pair_next, table))
-    del tree
+    model = spark.sparkContext.broadcast((slot_table(keys, bits), counts))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        *parts, known = model.value
-        tree = ContextTree(*parts)
-        logs = {w: float(np.log10((c + 1) / divisor)) for w, c in known.items()}
+        table, counts = model.value
+        logs = {w: float(np.log10((c + 1) / divisor)) for w, c in counts.items()}
         row, end = TaskContext.get().partitionId() << 33, float(np.log10((ends + 1) / divisor))
         for batch in batches:
             texts = [lowered(t) for t in batch.pop("text")]
@@ -442,19 +421,24 @@ def score_texts(docs: DataFrame, contexts: int = CONTEXTS, depth: int = DEPTH, f
             for t in texts:
                 tokens = t.split()
                 rare = [w for w in tokens if w not in logs]
+                known = sum([counts.get(w, 0) > 0 for w in tokens])
                 base = end + sum([logs[w] for w in tokens if w in logs])
-                out.append((row, len(t), len(tokens) + 1, len(tokens) - len(rare) + (ends > 0), base, [w.decode("utf-8", "surrogatepass") for w in rare]))
+                out.append((row, len(t), len(tokens) + 1, known + (ends > 0), base, [w.decode("utf-8", "surrogatepass") for w in rare]))
                 row += 1
             columns = pd.DataFrame(out, columns=["row", "n_bytes", "n_tokens", "n_known", "base", "rare"], index=batch.index)
-            yield pd.concat([batch, columns.assign(score=tree.log2(texts) * np.log10(2))], axis=1)
+            log2, lacking = text_log2(texts, table, depth)
+            yield pd.concat([batch, columns.assign(bits=log2, lacking=lacking)], axis=1)
 
-    kind = "doc_id long, held_out boolean, row long, n_bytes long, n_tokens long, n_known long, base double, rare array<string>, score double"
+    kind = "doc_id long, held_out boolean, row long, n_bytes long, n_tokens long, n_known long, base double, rare array<string>, bits double, lacking array<long>"
     scored = materialize(source.mapInPandas(score, kind), "scored")
-    # the second tier: words that the broadcast table lacks meet their counts in a shuffle; none of them is frequent
-    rare = scored.select("row", F.explode("rare").alias("word")).join(words.withColumnRenamed("word", "__word"), F.col("word") == F.col("__word"), "left")
-    added = rare.groupBy("row").agg(F.count("c").alias("more_known"), F.sum(F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(divisor)))).alias("more")).withColumnRenamed("row", "__row")
-    whole = scored.drop("rare").join(added, F.col("row") == F.col("__row"), "left")
+    # the second tier: what the broadcast tables lack meets its counts in a shuffle; no such key is frequent in any text
+    rare = scored.select("row", F.explode("rare").alias("word")).join(rare_words.select(F.col("word").alias("__word"), "c"), F.col("word") == F.col("__word"))
+    added = rare.groupBy("row").agg(F.count_if(F.col("c") > 0).alias("more_known"), F.sum(F.log10((F.col("c") + 1) / F.lit(float(divisor)))).alias("more")).withColumnRenamed("row", "__row")
+    lacked = scored.select("row", F.explode("lacking").alias("gram")).join(rare_grams.select(F.col("gram").alias("__gram"), F.col("bits").alias("more_bits")), F.col("gram") == F.col("__gram"))
+    more_bits = lacked.groupBy("row").agg(F.sum("more_bits").alias("more_bits")).withColumnRenamed("row", "__bits_row")
+    whole = scored.drop("rare", "lacking").join(added, F.col("row") == F.col("__row"), "left").join(more_bits, F.col("row") == F.col("__bits_row"), "left")
+    bits = F.col("bits") + F.coalesce("more_bits", F.lit(0.0))
     return whole.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score", "n_bytes", (-F.col("score") / F.log10(F.lit(2.0)) / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
+        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (bits * F.log10(F.lit(2.0))).alias("score"), "n_bytes", (-bits / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
     )
