@@ -10,12 +10,13 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
+from tideglass.functions import config
 from tideglass.functions.config import DEFAULTS
 from tideglass.functions.scalars import index_capped, index_nearest
-from tideglass.operators import analytics, chaos, drift, incidents, ingest, integrity, latency, metrics, report, shedding
-from tideglass.sources import frames, jsonl
+from tideglass.operators import analytics, chaos, drift, incidents, ingest, integrity, latency, logs, metrics, report, shedding
+from tideglass.sources import endpoint, frames, jsonl, replay
 from tideglass.sources.synthetic import synthetic_ticks
-from tideglass.streaming import twins
+from tideglass.streaming import fanout, state, twins
 
 COLUMNS = "arrival_seq long, type string, product_id string, price double, last_size double, time string, trade_id long, sequence long, ingest_ts_ms long, recv_ts_ms long"
 
@@ -395,3 +396,181 @@ def test_counters_and_series_of_marked_ticks(spark):
     got = {(r["name"], r["label"]): r["value"] for r in metrics.latest(metrics.snapshots(df, 1000)).collect()}
     assert got["anomalies_total", "schema_drift"] == 8 and got["incidents_total", ""] == 1 and got["anomalies_total", "sequence_gap"] == 40
     assert got["events_per_second", ""] == 1.0  # the last step holds the one event at 4000 ms
+
+
+def test_periodic_snapshots(spark):
+    rows = random_ticks(21, 300)
+    df = frame(spark, rows)
+    settings = replace(DEFAULTS, vwap_window=7, volatility_window=12)
+    rolling = {r["arrival_seq"]: r["vwap"] for r in analytics.vwap_rolling(df, settings).collect()}
+    kept = {r["arrival_seq"]: r for r in df.collect() if r["arrival_seq"] in rolling}
+    want: dict = {}
+    for seq in sorted(rolling):
+        want[kept[seq]["recv_ts_ms"] // 50 * 50 + 50, kept[seq]["product_id"]] = rolling[seq]
+    got = {(r["at_ms"], r["product_id"]): r["vwap"] for r in analytics.vwap_periodic(df, 50, settings).collect()}
+    assert got == pytest.approx(want)
+    prices: dict = {}
+    want = {}
+    for r in sorted(df.collect(), key=lambda r: r["arrival_seq"]):
+        if r["price"] is None or r["price"] <= 0:
+            continue
+        held = prices.setdefault(r["product_id"], [])
+        held.append(r["price"])
+        returns = [math.log(b / a) for a, b in zip(held, held[1:])][-12:]
+        at = r["recv_ts_ms"] // 50 * 50 + 50, r["product_id"]
+        if len(returns) >= 10:
+            mean = sum(returns) / len(returns)
+            want[at] = math.sqrt(sum((x - mean) ** 2 for x in returns) / len(returns)) * math.sqrt(86_400 * 365) * 100
+    got = {(r["at_ms"], r["product_id"]): r["volatility_pct"] for r in analytics.volatility_periodic(df, 50, settings).collect()}
+    assert got == pytest.approx(want, abs=1e-3) and want
+
+
+def test_log_lines(spark):
+    df = frame(spark, [tick(1, "A", 10.0, 2.0, ingest=1000, recv=1010), tick(2, "B", 2.5, 4000.0, ingest=1000, recv=1020), tick(3, "A", 20.0, 2.0, ingest=6000, recv=6010)])
+    lines = lambda found: [(r["at_ms"], r["line"]) for r in found.orderBy("at_ms").collect()]
+    assert lines(logs.vwap_lines(analytics.vwap_periodic(df))) == [(5000, "A=10.00 | B=2.50"), (10000, "A=15.00")]
+    assert lines(logs.volume_lines(analytics.volume(df), 10_000)) == [(10000, "A=$0.4K/min(2tx) | B=$60.0K/min(1tx)")]
+    assert lines(logs.health_lines(analytics.health(df), 5_000)) == [(5000, "eps=0.4 | price=2.5"), (10000, "eps=0.2 | price=20.0")]
+    marked = df.withColumns({"is_duplicate": F.col("arrival_seq") == 2, "is_incident": F.lit(False)})
+    assert lines(logs.forensics_lines(metrics.snapshots(marked, 5_000)))[1] == (10000, "processed=3 | drift=0 | dup=1 | ooo=0 | gaps=0 | spikes=0 | incidents=0")
+
+
+def test_settings(spark):
+    found = config.from_environment({"DUPLICATE_LRU_MAX": "7", "FLIGHT_COOLDOWN_S": "3", "RECORD": "TRUE", "BACKOFF_MAX": "2.5", "HOME": "x", "PORT": ""})
+    assert (found.lru_ids, found.cooldown_ms, found.record, found.backoff_most_s, found.port) == (7, 3000, True, 2.5, 9001)
+    assert config.from_environment({}) == DEFAULTS
+    with pytest.raises(ValueError):
+        config.from_environment({"PORT": "many"})
+    spark.conf.set("spark.tideglass.vwap_window", "9")
+    try:
+        assert config.from_session(spark) == replace(DEFAULTS, vwap_window=9)
+    finally:
+        spark.conf.unset("spark.tideglass.vwap_window")
+
+
+def test_endpoint():
+    from urllib.error import HTTPError
+    from urllib.request import urlopen
+
+    served = endpoint.MetricsEndpoint(lambda: "é 1\n", 0, "127.0.0.1")
+    try:
+        get = lambda path: urlopen(f"http://127.0.0.1:{served.port}{path}", timeout=5).read().decode()
+        assert (get("/metrics"), get("/health")) == ("é 1\n", "OK")
+        with pytest.raises(HTTPError) as missing:
+            get("/other")
+        assert missing.value.code == 404
+    finally:
+        served.stop()
+
+
+def test_token_bucket():
+    now = [0.0]
+    bucket = replay.TokenBucket(10.0, 3.0, lambda: now[0], lambda s: now.__setitem__(0, now[0] + s))
+    assert bucket.take() == pytest.approx(0.1) and bucket.take() == pytest.approx(0.1)
+    now[0] += 60
+    assert [round(bucket.take(), 6) for _ in range(4)] == [0, 0, 0, 0.1]
+    assert replay.TokenBucket(0).take() == 0
+
+
+def listening(connections):
+    """A TCP peer that keeps all frames it is sent, and its port."""
+    import socket
+    import threading
+
+    server, found, threads = socket.create_server(("127.0.0.1", 0)), [], []
+
+    def take(peer):
+        data = b""
+        while piece := peer.recv(1 << 16):
+            data += piece
+        found.append(list(frames.unframe(data)))
+
+    def serve():
+        for _ in range(connections):
+            threads.append(threading.Thread(target=take, args=(server.accept()[0],)))
+            threads[-1].start()
+
+    threads.append(threading.Thread(target=serve, daemon=True))
+    threads[0].start()
+    return server.getsockname()[1], found, threads
+
+
+def test_replay_and_stress(spark, tmp_path):
+    import json
+
+    from tideglass.__main__ import events_to_send, main
+
+    (tmp_path / "a.jsonl").write_text("".join(f'{{"type":"ticker","sequence":{i},"ingest_ts_ms":5}}\n' for i in range(30)) + "{bad\n")
+    port, found, threads = listening(1)
+    assert main(["replay", "-f", str(tmp_path / "a.jsonl"), "--host", "127.0.0.1", "--port", str(port), "-s", "5", "-d", "0.3", "--no-update-timestamps"], spark) > 30
+    [t.join(10) for t in threads]
+    events = [json.loads(x) for x in found[0]]
+    assert {e["sequence"] for e in events} == set(range(30)) and all(e["ingest_ts_ms"] == 5 for e in events)
+    assert [e["sequence"] for e in events] != sorted(e["sequence"] for e in events)
+    port, found, threads = listening(2)
+    assert main(["stress", "-r", "0", "-n", "40", "-c", "2", "-s", "X", "--host", "127.0.0.1", "--port", str(port)], spark) == 40
+    [t.join(10) for t in list(threads)]
+    assert sorted(map(len, found)) == [20, 20] and {json.loads(x)["product_id"] for f in found for x in f} == {"X"}
+    assert (events_to_send(1000, None, None), events_to_send(10, 2, 50), events_to_send(10, 9, 50)) == (10_000, 20, 50)
+
+
+def test_over_long_frames_end_the_connection():
+    import socket
+    import threading
+
+    server = socket.create_server(("127.0.0.1", 0))
+
+    def serve():
+        for data in (frames.frame(b"{}") + b"\xff\xff\xff\xff" + b"x" * 100, frames.frame(b'{"a":1}')):
+            peer, _ = server.accept()
+            peer.sendall(data)
+            peer.close()
+
+    threading.Thread(target=serve, daemon=True).start()
+    reader = frames.FrameSocketReader({"host": "127.0.0.1", "port": str(server.getsockname()[1]), "wait": "0.5"})
+    rows, end = reader.read(reader.initialOffset())
+    assert [raw for _, raw in rows] == ["{}"] and reader.rest == b""
+    reader.commit(end)
+    assert [raw for _, raw in reader.read(end)[0]] == ['{"a":1}']
+
+
+def test_fan_out_and_restart(spark, tmp_path):
+    """Every consumer sees every row once, over a restart as well."""
+    schema, seen = "arrival_seq long, price double", []
+    source = spark.range(10).selectExpr("id as arrival_seq", "id * 1.0D as price")
+    source.coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+
+    def once():
+        stream = spark.readStream.schema(schema).json(str(tmp_path / "in"))
+        consumers = {"a": fanout.write_batch(str(tmp_path / "a")), "b": fanout.write_batch(str(tmp_path / "b"), lambda d: d.filter("price > 4")), "n": lambda batch, number: seen.append((number, batch.count()))}
+        fanout.fan_out(stream, consumers, str(tmp_path / "checkpoint"), once=True).awaitTermination()
+
+    once()
+    source.selectExpr("arrival_seq + 10 as arrival_seq", "price").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    once()
+    assert seen == [(0, 10), (1, 10)]
+    assert sorted(r["arrival_seq"] for r in spark.read.parquet(str(tmp_path / "a")).collect()) == list(range(20))
+    assert spark.read.parquet(str(tmp_path / "b")).count() == 10
+
+
+def test_report_files(spark, tmp_path):
+    from tideglass.__main__ import main
+
+    df = frame(spark, random_ticks(3, 300))
+    small = replace(DEFAULTS, pre_events=20, post_events=7, cooldown_ms=10, latency_window=60, latency_least=20)
+    found = incidents.incidents(df, small)
+    jsonl.write_bundles(incidents.meta(found, small), incidents.capture(df, found, small), str(tmp_path))
+    n = main(["report", str(tmp_path)], spark)
+    files = spark.read.text(f"{tmp_path}/reports", wholetext=True).collect()
+    assert n == len(files) == found.count() > 0 and all(f["value"].startswith(f"# Incident Report: {f['incident_id']}") for f in files)
+
+
+def test_volume_stream_drops_nothing_late(spark, tmp_path):
+    """A second file with rows hours older than the first still counts."""
+    schema = "product_id string, price double, last_size double, recv_ts_ms long"
+    for rows in ([("A", 2.0, 3.0, 36_000_000)], [("A", 5.0, 1.0, 1_000), ("A", 1.0, 1.0, 2_000)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    stream = state.volume_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in")))
+    query = stream.writeStream.format("memory").queryName("late_volume").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(map(tuple, spark.table("late_volume").collect())) == [(0, "A", 6.0, 2), (36_000_000, "A", 6.0, 1)]

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import os
+from collections.abc import Mapping
+from dataclasses import dataclass, fields, replace
+
+from pyspark.sql import SparkSession
 
 
 @dataclass(frozen=True)
@@ -28,10 +32,63 @@ class EngineConfig:
     forensics_queue: int = 5_000
     backoff_first_s: float = 1.0
     backoff_most_s: float = 10.0
+    host: str = "0.0.0.0"
+    port: int = 9001
+    metrics_port: int = 9090
+    symbols: str = "BTC-USD,ETH-USD,SOL-USD"
+    record: bool = False
+    record_file: str = "data/btcusd.jsonl"
+    forensics: bool = True
+    drift_file: str = "data/drift_samples.jsonl"
+    incidents_dir: str = "data/incidents"
+    log_level: str = "INFO"
 
 
 DEFAULTS = EngineConfig()
 
+# fixed values: environment variables by the setting they give; the cooldown's is in seconds
+ENVIRONMENT = {
+    "BACKOFF_MAX": "backoff_most_s",
+    "DRIFT_SAMPLE_FILE": "drift_file",
+    "DUPLICATE_LRU_MAX": "lru_ids",
+    "FLIGHT_COOLDOWN_S": "cooldown_ms",
+    "FLIGHT_POST_EVENTS": "post_events",
+    "FLIGHT_PRE_EVENTS": "pre_events",
+    "FORENSICS": "forensics",
+    "HOST": "host",
+    "INCIDENTS_DIR": "incidents_dir",
+    "LATENCY_BUFFER_SIZE": "latency_window",
+    "LATENCY_SPIKE_CONSECUTIVE": "spike_consecutive",
+    "LATENCY_SPIKE_THRESHOLD_MS": "spike_threshold_ms",
+    "LOG_LEVEL": "log_level",
+    "METRICS_PORT": "metrics_port",
+    "PORT": "port",
+    "RECORD": "record",
+    "RECORD_FILE": "record_file",
+    "SYMBOLS": "symbols",
+}
+
+
+def _parsed(name: str, text: str):
+    kind = type(getattr(DEFAULTS, name))
+    return text.strip().lower() == "true" if kind is bool else kind(text.strip())
+
+
+def from_environment(environment: Mapping[str, str] | None = None, base: EngineConfig = DEFAULTS) -> EngineConfig:
+    """Settings with those of the environment variables that are set; a value that cannot be read raises ValueError."""
+    environment = os.environ if environment is None else environment
+    found = {name: _parsed(name, environment[key]) for key, name in ENVIRONMENT.items() if environment.get(key)}
+    if "cooldown_ms" in found:
+        found["cooldown_ms"] *= 1000
+    return replace(base, **found)
+
+
+def from_session(spark: SparkSession, base: EngineConfig = DEFAULTS, prefix: str = "spark.tideglass.") -> EngineConfig:
+    """Settings with those of the session, each under the prefix and its own name."""
+    texts = {f.name: spark.conf.get(prefix + f.name, None) for f in fields(EngineConfig)}
+    return replace(base, **{name: _parsed(name, text) for name, text in texts.items() if text})
+
+# fixed values: what events, metrics and results are named by
 #: Upper edges of the latency histogram, in ms; the last bucket is unbounded.
 LATENCY_BUCKETS = (1, 5, 10, 25, 50, 100, 250, 500, 1000)
 #: Seconds in a year, for annualised volatility.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,12 +28,12 @@ def _vwap(value: Column, volume: Column) -> Column:
     return ratio(value.cast("double"), volume.cast("double"))
 
 
-def vwap_rolling(ticks: DataFrame, config: EngineConfig = DEFAULTS) -> DataFrame:
-    """Per tick the volume-weighted price of its symbol's last rows; 0 where they have no volume."""
+def vwap_rolling(ticks: DataFrame, config: EngineConfig = DEFAULTS, carry: Sequence[str] = ()) -> DataFrame:
+    """Per tick the volume-weighted price of its symbol's last rows; 0 where they have no volume. Columns to carry along come last."""
     n = config.vwap_window
-    priced = _priced(ticks).select("arrival_seq", "product_id", "__pv", "__v")
+    priced = _priced(ticks).select("arrival_seq", "product_id", "__pv", "__v", *carry)
     summed = last_rows(priced, ["product_id"], "arrival_seq", n, {"__spv": sliding_sum(F.col("__pv"), n), "__sv": sliding_sum(F.col("__v"), n)})
-    return summed.select("arrival_seq", "product_id", _vwap(F.col("__spv"), F.col("__sv")).alias("vwap"), F.least(F.col("__n"), F.lit(n)).alias("window_rows"))
+    return summed.select("arrival_seq", "product_id", _vwap(F.col("__spv"), F.col("__sv")).alias("vwap"), F.least(F.col("__n"), F.lit(n)).alias("window_rows"), *carry)
 
 
 def vwap_snapshot(ticks: DataFrame, config: EngineConfig = DEFAULTS) -> DataFrame:
@@ -59,6 +61,37 @@ def volatility(ticks: DataFrame, config: EngineConfig = DEFAULTS) -> DataFrame:
     return found.filter(F.col("n_returns") >= config.volatility_least).select("product_id", "n_returns", F.round("mean_return", 8).alias("mean_return"), F.round(annual, 4).alias("volatility_pct"))
 
 
+def _last_of_step(rows: DataFrame, step_ms: int, columns: Sequence[str]) -> DataFrame:
+    """The newest row of each symbol and step of receipt; at_ms is the step's end."""
+    at = F.floor(F.col("recv_ts_ms") / step_ms).cast("long") * step_ms + step_ms
+    newest = F.max_by(F.struct(*columns), "arrival_seq").alias("r")
+    return rows.groupBy(at.alias("at_ms"), "product_id").agg(newest).select("at_ms", "product_id", *[f"r.{c}" for c in columns])
+
+
+def vwap_periodic(ticks: DataFrame, step_ms: int = 5_000, config: EngineConfig = DEFAULTS) -> DataFrame:
+    """(at_ms, product_id, vwap, window_rows): the rolling price as it stood at the end of each step in which the symbol had ticks."""
+    return _last_of_step(vwap_rolling(ticks, config, ["recv_ts_ms"]), step_ms, ["vwap", "window_rows"])
+
+
+def volatility_periodic(ticks: DataFrame, step_ms: int = 10_000, config: EngineConfig = DEFAULTS) -> DataFrame:
+    """(at_ms, product_id, n_returns, volatility_pct) at the end of each step, over the symbol's last returns by then.
+
+    Returns are summed as decimals of 16 places, so that sliding sums are exact.
+    """
+    n = config.volatility_window
+    prices = for_volatility(ticks).select("arrival_seq", "recv_ts_ms", symbol(F.col("product_id")).alias("product_id"), number(F.col("price")).alias("price"))
+    before = last_rows(prices, ["product_id"], "arrival_seq", 1, {"__p": lambda w: F.lag("price").over(w)}).drop("__n")
+    r = F.log(F.col("price") / F.col("__p"))
+    returns = before.filter("__p is not null").withColumns({"__r": r.cast("decimal(20,16)"), "__r2": (r * r).cast("decimal(22,16)")})
+    summed = last_rows(returns, ["product_id"], "arrival_seq", n, {"__s": sliding_sum(F.col("__r"), n), "__s2": sliding_sum(F.col("__r2"), n)})
+    held = F.least(F.col("__n"), F.lit(n))
+    mean = F.col("__s").cast("double") / held
+    variance = F.greatest(F.lit(0.0), F.col("__s2").cast("double") / held - mean * mean)
+    percent = F.round(F.sqrt(variance) * F.sqrt(F.lit(float(YEAR_SECONDS))) * 100, 4)
+    found = summed.withColumns({"n_returns": held.cast("long"), "volatility_pct": percent})
+    return _last_of_step(found, step_ms, ["n_returns", "volatility_pct"]).filter(F.col("n_returns") >= config.volatility_least)
+
+
 def volume(ticks: DataFrame, config: EngineConfig = DEFAULTS) -> DataFrame:
     """Traded value and trades per symbol and window of receipt."""
     ms = config.volume_window_ms

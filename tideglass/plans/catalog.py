@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.config import DEFAULTS, LATENCY_BUCKETS
 from ..functions.scratch import stored
-from ..operators import analytics, chaos, drift, incidents, ingest, integrity, latency, metrics, report, shedding
+from ..operators import analytics, chaos, drift, incidents, ingest, integrity, latency, logs, metrics, report, shedding
 from ..sources.synthetic import synthetic_ticks
 from ..sources.ticks import RAW_SQL, TICKS_SQL, raw_ticks, ticks
 from ..streaming import twins
@@ -135,6 +135,29 @@ def volatility_annualised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.volatility(ticks(spark, sf_dir))
 
 
+ROLLED = """, rolled as (
+  select arrival_seq, product_id, case when sum(v) over w > 0 then (sum(pv) over w)::double / (sum(v) over w)::double else 0.0 end as vwap, count(*) over w as window_rows
+  from priced window w as (partition by product_id order by arrival_seq rows between 199 preceding and current row)
+)"""
+
+
+@query(PRICED + ROLLED + """
+select recv_ts_ms // 5000 * 5000 + 5000 as at_ms, r.product_id, max_by(vwap, arrival_seq) as vwap, max_by(window_rows, arrival_seq) as window_rows
+from rolled r join ticks using (arrival_seq) group by 1, 2""")
+def vwap_every_5s(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.vwap_periodic(ticks(spark, sf_dir))
+
+
+@query(RETURNS + """, rolled as (
+  select arrival_seq, product_id, count(*) over w as n, round(stddev_pop(r) over w * sqrt(31536000.0) * 100, 4) as pct
+  from returns window w as (partition by product_id order by arrival_seq rows between 99 preceding and current row)
+)
+select recv_ts_ms // 10000 * 10000 + 10000 as at_ms, r.product_id, max_by(n, arrival_seq) as n_returns, round(max_by(pct, arrival_seq), 1) as volatility_pct
+from rolled r join ticks using (arrival_seq) group by 1, 2 having max_by(n, arrival_seq) >= 10""")
+def volatility_every_10s(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.volatility_periodic(ticks(spark, sf_dir)).withColumn("volatility_pct", F.round("volatility_pct", 1))
+
+
 @query("""
 select recv_ts_ms // 10000 * 10000 as window_start_ms, product_id, sum(price::decimal(19,8) * last_size::decimal(19,8))::double as volume,
   count(*) as trades, sum(price::decimal(19,8) * last_size::decimal(19,8))::double / 10.0::double * 60.0::double as volume_per_minute
@@ -392,6 +415,32 @@ def report_sample_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.sample_events(bundles(spark, sf_dir)).select("incident_id", "arrival_seq", "trade_id")
 
 
+@query(SMALL_SQL + EVENTS + """, ms as (
+  select incident_id, list_sort(list(ms))[count(*) * 99 // 100 + 1] as latency_p99
+  from (select incident_id, recv_ts_ms - ingest_ts_ms as ms from bundle where recv_ts_ms >= ingest_ts_ms) group by 1
+), twice as (
+  select incident_id, count(*) as n from (select incident_id, trade_id from bundle group by 1, 2 having count(*) > 1) group by 1
+), late as (
+  select incident_id, count(*) filter (exchange_ms < before) as out_of_order from (
+    select incident_id, exchange_ms, lag(exchange_ms) over (partition by incident_id, product_id order by arrival_seq) as before from bundle) group by 1
+), holes as (
+  select incident_id, count(*) as n from (
+    select incident_id, sequence, lead(sequence) over (partition by incident_id, product_id order by sequence) as before
+    from (select distinct incident_id, product_id, sequence from bundle)) where before > sequence + 1 group by 1
+), spans as (
+  select incident_id, array_to_string(list_sort(list(distinct product_id)), ',') as symbols, max(exchange_ms) - min(exchange_ms) as duration_ms from bundle group by 1
+)
+select incident_id, reason, hi - lo + 1 as total_events, latency_p99, least(coalesce(twice.n, 0), 10) as duplicates_listed, out_of_order,
+  least(coalesce(holes.n, 0), 10) as gaps_listed, symbols, duration_ms
+from incidents join ms using (incident_id) left join twice using (incident_id) join late using (incident_id) left join holes using (incident_id) join spans using (incident_id)""")
+def incident_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The joined reports, with their lists as lengths."""
+    rows, found = small_incidents(spark, sf_dir)
+    whole = report.reports(incidents.meta(found, SMALL), stored(incidents.capture(rows, found, SMALL), "bundles"))
+    listed = [F.coalesce(F.size(c), F.lit(0)).cast("long").alias(name) for c, name in (("duplicate_ids", "duplicates_listed"), ("gaps", "gaps_listed"))]
+    return whole.select("incident_id", "reason", "total_events", "latency_p99", "out_of_order", "symbols", "duration_ms", *listed)
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.snapshots(ticks(spark, sf_dir), STEP_MS)
 
@@ -549,6 +598,24 @@ def prom_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.union(held)
 
 
+@query("""
+select recv_ts_ms // 5000 * 5000 + 5000 as at_ms, printf('eps=%.1f', count(*) / 5.0::double) || ' | price=' || max_by(price, arrival_seq)::varchar as line
+from ticks group by 1""")
+def log_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.health_lines(analytics.health(ticks(spark, sf_dir)), DEFAULTS.health_window_ms)
+
+
+@query(JUDGED + f""", per_step as (
+  select recv_ts_ms // {STEP_MS} * {STEP_MS} + {STEP_MS} as at_ms, count(*) as n, {", ".join(f"count(*) filter ({c}) as {c}" for c, _ in MARKS)}, count(*) filter (is_incident) as is_incident
+  from marked group by 1
+)
+select at_ms, printf('processed=%d | drift=%d | dup=%d | ooo=%d | gaps=%d | spikes=%d | incidents=%d', (sum(n) over w)::bigint, (sum(is_drift) over w)::bigint,
+  (sum(is_duplicate) over w)::bigint, (sum(is_out_of_order) over w)::bigint, (sum(is_gap) over w)::bigint, (sum(is_spike) over w)::bigint, (sum(is_incident) over w)::bigint) as line
+from per_step window w as (order by at_ms rows unbounded preceding)""", RAW_SQL)
+def log_forensics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.forensics_lines(metrics.snapshots(marked(spark, sf_dir), STEP_MS))
+
+
 @query(quantile_sql(0.95))
 def prom_histogram_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.histogram_quantile(samples(spark, sf_dir), 0.95, RATE_MS).withColumn("quantile", F.round("quantile", 6))

@@ -101,12 +101,14 @@ class FrameSocketReader(SimpleDataSourceStreamReader):
 
     Events are numbered in order of receipt, which is their total order.
     What was read is kept until committed, so that a failed batch is repeated.
+    A frame that announces more than `limit` bytes ends its connection.
     """
 
     def __init__(self, options: dict):
         self.address = (options.get("host", "localhost"), int(options.get("port", "9001")))
         self.most, self.wait_s = int(options.get("rows", "10000")), float(options.get("wait", "1"))
         self.backoff, self.peer, self.rest, self.held = Backoff(), None, b"", {}
+        self.limit = int(options.get("limit", LIMIT))
 
     def initialOffset(self) -> dict:
         return {"n": 0}
@@ -125,11 +127,17 @@ class FrameSocketReader(SimpleDataSourceStreamReader):
             while len(found) < self.most:
                 data = self.peer.recv(1 << 16)
                 if not data:
-                    self.peer = None
+                    # what a closed connection left unfinished belongs to no frame of the next
+                    self.peer, self.rest = None, b""
                     break
                 self.rest += data
-                found.extend(unframe(self.rest))
+                found.extend(unframe(self.rest, self.limit))
                 self.rest = self.rest[whole_frames(self.rest) :]
+                if len(self.rest) >= 4 and struct.unpack_from(">I", self.rest)[0] > self.limit:
+                    # the rest of such a frame is not waited for, so the buffer stays bounded
+                    self.peer.close()
+                    self.peer, self.rest = None, b""
+                    break
         except OSError:
             pass
         return found

@@ -72,6 +72,13 @@ def report_texts(spark: SparkSession, path: str, incident_ids: list[str] | None
     return {r["incident_id"]: reporting.markdown(r.asDict(recursive=True), (analysis or {}).get(r["incident_id"])) for r in rows.toLocalIterator()}
 
 
+def write_reports(spark: SparkSession, path: str, out: str | None = None, incident_ids: list[str] | None = None, analysis: dict[str, str] | None = None) -> None:
+    """One Markdown file per incident below out (default: reports/ in path), partitioned by incident_id; a rerun replaces them."""
+    texts = report_texts(spark, path, incident_ids, analysis)
+    rows = spark.createDataFrame(sorted(texts.items()), "incident_id string, value string")
+    rows.repartition("incident_id").write.mode("overwrite").partitionBy("incident_id").text(out or f"{path}/reports")
+
+
 def write_drift_samples(df: DataFrame, path: str, most: int | None = None) -> None:
     """All drifted events with their findings as JSON lines; only the first `most` in order if given, as a full queue would keep."""
     found = drift_samples(df)

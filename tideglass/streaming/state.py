@@ -159,9 +159,14 @@ def recorder_stream(flagged: DataFrame, config: EngineConfig = DEFAULTS) -> Data
     return _stateful(rows, "one", Recorder(config), "seq long, kind string, lo long, hi long")
 
 
-def volume_stream(ticks: DataFrame, window: str = "10 seconds", lateness: str = "1 minute") -> DataFrame:
-    """Traded value and trades per symbol and event-time window of receipt; rows later than `lateness` are left out."""
+def volume_stream(ticks: DataFrame, window: str = "10 seconds", lateness: str | None = None) -> DataFrame:
+    """Traded value and trades per symbol and event-time window of receipt.
+
+    No row is too late unless a lateness is given, which an append sink needs
+    and which bounds the state; without one, write in update mode.
+    """
     amount = money(number(F.col("price"))) * money(number(F.col("last_size")))
-    timed = for_volume(ticks).withColumn("received", F.timestamp_millis("recv_ts_ms")).withWatermark("received", lateness)
+    timed = for_volume(ticks).withColumn("received", F.timestamp_millis("recv_ts_ms"))
+    timed = timed.withWatermark("received", lateness) if lateness else timed
     sums = timed.groupBy(F.window("received", window), symbol(F.col("product_id")).alias("product_id")).agg(F.sum(amount).cast("double").alias("volume"), F.count(F.lit(1)).alias("trades"))
     return sums.select(F.unix_millis("window.start").alias("window_start_ms"), "product_id", "volume", "trades")
